@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import fingerprints, language_id, license_scan, packing, sentencepiece_codec, token_files, toxicity, url_filter
+from pactlake.llm import fingerprints, jaccard_join, language_id, license_scan, metric_join, packing, sentencepiece_codec, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,14 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), names.alias("licenses"), best.alias("containment"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op8_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs.select("doc_id", packing.words().alias("n_tokens")))
@@ -64,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_url_filter": op4_url_filter,
     "op5_license_scan": op5_license_scan,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op8_metric_join": op8_metric_join,
     "op7_packing": op7_packing,
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
