@@ -14,11 +14,12 @@ and a clash of a column name with an output name raises ``ValueError``.
 
 from __future__ import annotations
 
+import array
 import hashlib
 import heapq
-import itertools
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ from pactlake.llm._batches import TwoGenerationCache, slices
 SPACE = "▁"
 #: Entries in each of the memo's two generations.
 MEMO = 300_000
+#: Symbols up to which the agenda is an array; a score that no pair has.
+ARRAY, NEVER = 48, float("inf")
 
 
 class PieceModel:
@@ -52,7 +55,23 @@ class PieceModel:
         self.memo, self.parts = TwoGenerationCache(memo), TwoGenerationCache(memo)
 
     def merge(self, part: str) -> list[int]:
-        """The agenda over one part: ids of its pieces."""
+        """Ids of one part's pieces; the agenda is an array of pair scores, or a heap for long parts."""
+        return self._ids(self._merge_long(part) if len(part) > ARRAY else self._merge_short(part))
+
+    def _merge_short(self, part: str) -> list[str]:
+        get, symbols = self.rank.get, list(part)
+        agenda = [get(a + b, NEVER) for a, b in zip(part, part[1:], strict=False)]
+        while agenda and (best := min(agenda)) < NEVER:
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(symbols[i] + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + symbols[i], NEVER)
+        return symbols
+
+    def _merge_long(self, part: str) -> list[str]:
         rank, n = self.rank, len(part)
         symbols: list = list(part)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -74,15 +93,17 @@ class PieceModel:
                     heapq.heappush(agenda, (r, i, pair))
             if (h := before[i]) >= 0 and (r := rank.get(pair := symbols[h] + joined)) is not None:
                 heapq.heappush(agenda, (r, h, pair))
+        return [s for s in symbols if s is not None]
+
+    def _ids(self, symbols: list[str]) -> list[int]:
         ids: list[int] = []
         for symbol in symbols:
-            if symbol is not None:
-                if (piece := self.pieces.get(symbol)) is not None:
-                    ids.append(piece)
-                elif self.byte_ids:
-                    ids += [self.byte_ids[b] for b in symbol.encode()]
-                else:
-                    ids.append(self.unknown)
+            if (piece := self.pieces.get(symbol)) is not None:
+                ids.append(piece)
+            elif self.byte_ids:
+                ids += [self.byte_ids[b] for b in symbol.encode()]
+            else:
+                ids.append(self.unknown)
         return ids
 
     def _cut(self, word: str) -> list[str]:
@@ -101,11 +122,11 @@ class PieceModel:
             return
         cuts = [self._cut(SPACE + w) for w in unknown]
         for part in self.parts.settle({p for c in cuts for p in c}):
-            self.parts.young[part] = self.merge(part)
+            self.parts.young[part] = array.array("I", self.merge(part)).tobytes()
         known, young = self.parts.young, self.memo.young
-        ids = [[i for p in c for i in known[p]] for c in cuts]
-        for word, own, theirs in zip(unknown, ids, self.library.encode(unknown, num_threads=1), strict=True):
-            if word and own != theirs:
+        for word, c, theirs in zip(unknown, cuts, self.library.encode(unknown, num_threads=1), strict=True):
+            own = b"".join([known[p] for p in c])
+            if word and own != array.array("I", theirs).tobytes():
                 raise ValueError(f"encoding differs from the library's for {word!r}")
             young[word] = own
 
@@ -117,15 +138,19 @@ class PieceModel:
             return [w[1:] for w in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
         return text.split(" ")
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, with begin and end ids."""
+    def pack(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, with begin and end ids, as unsigned 32-bit integers."""
         split = [self.words(t) for t in texts]
         self._learn({w for words in split for w in words})
         known = self.memo.young
-        join = itertools.chain.from_iterable
-        return [[self.begin, *join(map(known.__getitem__, words)), self.end] for words in split]
+        head, tail = (array.array("I", [i]).tobytes() for i in (self.begin, self.end))
+        return [b"".join([head, *map(known.__getitem__, words), tail]) for words in split]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, with begin and end ids."""
+        return [array.array("I", ids).tolist() for ids in self.pack(texts)]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of a list of ids: control ids vanish, bytes join, the leading space goes.
 
         A run of byte ids is read as UTF-8, each byte that is not valid there becoming U+FFFD.
@@ -134,7 +159,7 @@ class PieceModel:
         try:
             text = raw.decode()
         except UnicodeDecodeError:
-            return self.library.decode(ids)
+            return self.library.decode(list(ids))
         return text[1:] if text[:1] == " " else text
 
 
@@ -179,18 +204,22 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     return encoded.mapInArrow(run, schema)
 
 
+def _swapped(ids: array.array) -> bytes:
+    (other := array.array("I", ids)).byteswap()
+    return other.tobytes()
+
+
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes each text in one pass: key, n_tokens, ids_sha256, decoded_sha256."""
-    import array
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
             for part in slices(batch, text):
                 n, of_ids, of_text = [], [], []
-                for ids in m.encode([t or "" for t in part.column(text).to_pylist()]):
-                    n.append(len(ids))
-                    of_ids.append(hashlib.sha256(array.array("I", ids)).hexdigest())
+                for raw in m.pack([t or "" for t in part.column(text).to_pylist()]):
+                    n.append(len(ids := array.array("I", raw)))
+                    of_ids.append(hashlib.sha256(raw if sys.byteorder == "little" else _swapped(ids)).hexdigest())
                     of_text.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
