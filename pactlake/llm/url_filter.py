@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pactlake.llm._batches import cut
+
 FAN, ALIKE, DEPTH = 20, 0.15, 4
 SMOOTH, PRIOR, REJECT = 4.0, 0.25, 0.8
 #: Rules become one expression; longer lists are refused.
@@ -134,18 +136,19 @@ def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
     name, verdict = judged(rules)
     rows = rows.withColumn("rule", name).withColumn("_said", verdict)
     seg = [f"s{i}" for i in range(DEPTH)]
-    cut = rows.withColumn("_l", _levels(F.col("path"))).select("*", *[F.get("_l", F.lit(i)).alias(s) for i, s in enumerate(seg)]).drop("_l")
-    tree = cut.groupBy("host", *seg).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_said") == "block").cast("long")).alias("blocked"), F.count("_said").alias("labelled"))
-    tree = tree.select("host", *seg, *[F.col(s).alias(f"raw{i}") for i, s in enumerate(seg)], "n", F.coalesce("blocked", F.lit(0)).alias("blocked"), "labelled")
+    levels = rows.withColumn("_l", _levels(F.col("path"))).select("*", *[F.get("_l", F.lit(i)).alias(s) for i, s in enumerate(seg)]).drop("_l")
+    tree = levels.groupBy("host", *seg).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_said") == "block").cast("long")).alias("blocked"), F.count("_said").alias("labelled"))
+    tree = cut(tree.select("host", *seg, *[F.col(s).alias(f"raw{i}") for i, s in enumerate(seg)], "n", F.coalesce("blocked", F.lit(0)).alias("blocked"), "labelled"))
     for i, s in enumerate(seg):
         up = ["host", *seg[:i]]
         wild = tree.groupBy(*up).agg(F.approx_count_distinct(s, 0.02).alias("fan")).where(F.col("fan") > FAN).select(*up, F.lit(True).alias("wild"))
-        tree = tree.join(wild, up, "left").withColumn(s, F.when(F.col("wild") & (F.col(s) != "{end}"), "*").otherwise(F.col(s))).drop("wild")
+        # Each level reads the last one twice, so it is written; else reads would double with every level.
+        tree = cut(tree.join(wild, up, "left").withColumn(s, F.when(F.col("wild") & (F.col(s) != "{end}"), "*").otherwise(F.col(s))).drop("wild"))
     nodes = tree.groupBy("host", *seg).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
     ddl = "host string, " + ", ".join(f"{s} string" for s in seg) + ", template string, purity double"
     known = nodes.groupBy("host").applyInPandas(_host_tree, ddl)
     raw = [f"raw{i}" for i in range(DEPTH)]
     found = tree.select("host", *raw, *seg).join(known, ["host", *seg]).select("host", *[F.col(r).alias(s) for r, s in zip(raw, seg, strict=True)], "template", "purity")
-    made = cut.join(found, ["host", *seg], "left")
+    made = levels.join(found, ["host", *seg], "left")
     own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return made.select(F.col("_key").alias(key), "host", "path", "rule", F.coalesce("_said", own).alias("verdict"), "template", "purity")
