@@ -40,13 +40,19 @@ class TwoGenerationCache:
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
+    def recall(self, key):
+        """Moves one key of the old generation to the young one; its value, or None."""
+        if (value := self.old.get(key)) is not None:
+            self.young[key] = value
+        return value
+
     def settle(self, keys: set) -> list:
         """Moves known keys to the young generation and returns those that are unknown."""
         if len(self.young) + len(keys) > self.limit:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         unknown = []
-        for key in keys - young.keys():
+        for key in keys.difference(young):
             if (value := old.get(key)) is None:
                 unknown.append(key)
             else:
@@ -54,6 +60,28 @@ class TwoGenerationCache:
         return unknown
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: long texts have to fit.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch unless the session has a value of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system; workers outlive tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a machine-local one only where none is set (tests)."""
     sc = spark.sparkContext

@@ -3,10 +3,13 @@
 Two documents link when 100 * intersection >= 75 * union of their sets of word shingles.
 
 1.  Equal sets are one class, known by a signature; a bounded sketch counts shingles.
-2.  A set's index entries are its rarest shingles, by the sketch's counts, as many as make sure
-    that linked sets share one.  Entries meet by shingle; a shingle's entries are first joined
-    within a task to one entry, so however many sets hold it, it stays small.  The connected
-    groups of classes that share entries are *families*: every link lies inside a family.
+2.  Each set's prefix, its first shingles in one order of all, is long enough for linked sets to
+    share a tenth of their sizes there.  Tasks for buckets of shingles tell which of these more
+    sets have, and how many.  A set with too few shared ones can have no link and is left out;
+    of the others' prefixes the rarest are index entries, as many as a link cannot miss.  The
+    connected groups of classes that share entries are *families*: every link lies inside one.
+    Hot shingles, by the sketch, come last in the order and are never gathered: each task joins
+    its own sets that have one and hands on one entry.
 3.  Inside a family (large ones: each pair of blocks on its own) all links are found exactly.
     Index lists are sorted by set size, so the blocks of a list outside a set's size window are
     skipped by position; and a set that differs little from one whose overlaps are known takes
@@ -25,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm._batches import cut, slices, text_bytes
+from pactlake.llm._batches import SLICE_BYTES, bounded_batches, cut, release, slices, text_bytes
 from pactlake.llm.components import connected, local_roots
 from pactlake.llm.shingles import shingle_sets, signature
 
@@ -36,19 +40,18 @@ from pactlake.llm.shingles import shingle_sets, signature
 PERCENT = 75
 #: Counters of the sketch, and the slices that it is added up in.
 SKETCH, SKETCH_SLICES = 1 << 20, 64
-#: Index entries that a task joins before it hands them on; entries of a bucket of shingles.
-FLUSH, BUCKET = 1 << 20, 4 << 20
+#: Per cent of a set by which its prefix is extended.
+EXTRA = 10
+#: A shingle is hot if its counter exceeds both the floor and so many times the mean counter.
+HOT_FLOOR, HOT_TIMES = 2000, 4
+#: Index entries that a task hands on together; entries of a bucket of shingles.
+FLUSH, BUCKET = 1 << 20, 2 << 20
 #: A block of a family: sets and shingles at most.  Shingles of a unit of small families.
-BLOCK, BLOCK_SHINGLES, UNIT_SHINGLES = 1024, 1 << 20, 1 << 20
-
-
-def _prefix(n: int) -> int:
-    """Entries that make sure of meeting: n less the least overlap of a link, plus one."""
-    return n - (PERCENT * n + 99) // 100 + 1
+BLOCK, BLOCK_SHINGLES, UNIT_SHINGLES = 1024, 1 << 19, 1 << 19
 
 
 def _sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part in slices(batch, text):
+    for part in slices(batch, text, SLICE_BYTES // 2):
         yield part, shingle_sets(*text_bytes(part.column(text)))
 
 
@@ -66,6 +69,7 @@ def _survey(docs: DataFrame) -> DataFrame:
                     sketch += np.bincount((np.concatenate(new) >> np.uint64(44)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 rows = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), pa.nulls(rows, pa.binary())], schema=schema)
+        release()
         if seen:
             blobs = [x.tobytes() for x in np.minimum(sketch, 65535).astype("<u2").reshape(SKETCH_SLICES, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(blobs), np.int32)), pa.nulls(len(blobs), pa.int64()), pa.nulls(len(blobs), pa.int64()), pa.array(range(len(blobs)), pa.int64()), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
@@ -88,67 +92,158 @@ def _counts(survey: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _extended(n: int) -> tuple[int, int]:
+    """Size of a set's extended prefix, and how many of its entries any linked set's prefix has too.
+
+    With c = the least overlap of a link, sets that agree on c shingles share the first l of those
+    in any order within their first n - c + l.  A partner has 75 % of the size at least, and
+    its own l is in proportion.
+    """
+    c = (PERCENT * n + 99) // 100
+    more = max(1, n * EXTRA // 100)
+    return n - c + more, max(1, min(more, c * EXTRA // 100))
+
+
+def _blob(values: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(values, kind).tobytes()
+
+
+_ROW = pa.schema([("bucket", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+_ROW_DDL = "bucket int, flush long, kind int, x binary, y binary, z binary"
+
+
 def _entries(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
-    """Index entries by bucket of shingles (kind 0: shingles, sigs), and links seen on the way (kind 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
+    """Extended prefixes in the order (hot, hash), a flush of many sets at a time.
+
+    Kind 0, by bucket of shingles: shingles and the set's place in its flush.  Kind 1, once a
+    flush: signatures, prefix sizes and shares; kind 2: its entries with hot shingles, which are
+    not sent anywhere, as they are known to be shared.
+    """
+    hot = counts > max(HOT_FLOOR, HOT_TIMES * counts.mean())
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         seen: set[int] = set()
-        shingles: list[np.ndarray] = []
+        chosen: list[np.ndarray] = []
         sigs: list[int] = []
-        turn = 0
+        need: list[int] = []
+        turn = held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal turn
-            h = np.concatenate(shingles)
-            own = np.repeat(np.array(sigs, np.int64), [len(s) for s in shingles])
-            order = np.argsort(h, kind="stable")
-            h, own = h[order], own[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            leader = own[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            tie = leader != own
-            keys, kinds, left, right = [turn % buckets], [1], [own[tie].tobytes()], [leader[tie].tobytes()]
-            h, own = h[new], own[new]
+            number = part << 24 | turn
+            sizes = np.array([len(c) for c in chosen], np.int64)
+            h, own = np.concatenate(chosen), np.repeat(np.arange(len(chosen), dtype=np.uint16), sizes)
+            burning = shared.value[(h >> np.uint64(44)).astype(np.int64)]
+            rows = [(turn % buckets, number, 1, _blob(sigs, "<i8"), _blob(sizes, "<i4"), _blob(need, "<i4"))]
+            if burning.any():
+                rows.append((turn % buckets, number, 2, _blob(h[burning], "<u8"), _blob(own[burning], "<u2"), None))
+                h, own = h[~burning], own[~burning]
             where = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             h, own = h[order], own[order]
             ends = np.searchsorted(where[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(ends)):
-                keys.append(int(k))
-                kinds.append(0)
-                left.append(h[ends[k] : ends[k + 1]].tobytes())
-                right.append(own[ends[k] : ends[k + 1]].tobytes())
+                rows.append((int(k), number, 0, _blob(h[ends[k] : ends[k + 1]], "<u8"), _blob(own[ends[k] : ends[k + 1]], "<u2"), None))
             turn += 1
-            shingles.clear()
-            sigs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(kinds, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["bucket", "kind", "x", "y"])
+            for held_list in (chosen, sigs, need):
+                held_list.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
 
-        held = 0
         for b in batches:
             for _, sets in _sets(b, "text"):
                 for s in sets:
                     if not len(s) or (sig := signature(s)) in seen:
                         continue
                     seen.add(sig)
-                    rank = shared.value[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | s & np.uint64((1 << 40) - 1)
-                    p = _prefix(len(s))
-                    chosen = s[rank <= np.partition(rank, p - 1)[p - 1]]  # with all ties
-                    shingles.append(chosen)
+                    p, m = _extended(len(s))
+                    rank = s >> np.uint64(1) | shared.value[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+                    own = s[rank <= np.partition(rank, p - 1)[p - 1]]  # with all ties
+                    chosen.append(own)
                     sigs.append(sig)
-                    held += len(chosen)
-                if held >= FLUSH:
+                    need.append(m)
+                    held += len(own)
+                if held >= FLUSH or len(chosen) >= 1 << 15:
                     yield flush()
                     held = 0
-        if shingles:
+        if chosen:
             yield flush()
-
-    return docs.select("text").mapInArrow(run, "bucket int, kind int, x binary, y binary")
+        release()
+
+    return docs.select("text").mapInArrow(run, _ROW_DDL)
+
+
+def _arrays(table: pa.Table, kind: int, *columns: tuple[str, str]) -> list[list[np.ndarray]]:
+    """The blobs of the rows of a kind as arrays, column by column."""
+    kinds = table.column("kind").to_numpy()
+    return [[np.frombuffer(v.as_buffer(), t) for v, k in zip(table.column(c), kinds, strict=True) if k == kind] for c, t in columns]
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of a bucket's entries those whose shingle more sets have, with its count, back by flush."""
+    kinds, flushes = table.column("kind").to_numpy(), table.column("flush").to_numpy()
+    out = [r for r in zip(*(c.to_pylist() for c in table.filter(pa.array(kinds != 0)).columns), strict=True)]
+    h, own = _arrays(table, 0, ("x", "<u8"), ("y", "<u2"))
+    if h:
+        of = np.repeat(flushes[kinds == 0], [len(x) for x in h])
+        h, own = np.concatenate(h), np.concatenate(own)
+        order = np.argsort(h)
+        sorted_h = h[order]
+        starts = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
+        n = np.diff(np.append(starts, len(h)))
+        common = np.repeat(n > 1, n)
+        n, order = np.repeat(n, n)[common], order[common]
+        h, own, of = h[order], own[order], of[order]
+        order = np.argsort(of, kind="stable")
+        h, own, of, n = h[order], own[order], of[order], n[order]
+        ends = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        for a, b in zip(ends, np.append(ends[1:], len(of)), strict=True):
+            out.append((0, int(of[a]), 0, _blob(h[a:b], "<u8"), _blob(own[a:b], "<u2"), _blob(n[a:b], "<u4")))
+    return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_ROW)], schema=_ROW)
+
+
+def _selector(buckets: int):
+    def select(table: pa.Table) -> pa.Table:
+        """The index entries of a flush: of each set's prefix the rarest that a link cannot miss.
+
+        A set whose prefix has too few shared shingles can have no link and is left out.
+        """
+        sigs, sizes, need = (np.concatenate(v) for v in _arrays(table, 1, ("x", "<i8"), ("y", "<i4"), ("z", "<i4")))
+        h, own, n = _arrays(table, 0, ("x", "<u8"), ("y", "<u2"), ("z", "<u4"))
+        hot_h, hot_own = _arrays(table, 2, ("x", "<u8"), ("y", "<u2"))
+        n = [x.astype(np.int64) for x in n] + [np.full(len(x), 1 << 40, np.int64) for x in hot_h]
+        none = np.zeros(0, np.int64)
+        h, own, n = (np.concatenate(v) if v else none for v in ([*h, *hot_h], [*own, *hot_own], n))
+        own = own.astype(np.int64)
+        order = np.lexsort((h, n, own))
+        h, own = h[order], own[order]
+        count = np.bincount(own, minlength=len(sigs))
+        take = sizes - need + 1 - (sizes - count)  # beside the entries that no other set has
+        keep = np.arange(len(own)) - (np.cumsum(count) - count)[own] < take[own]
+        h, sig = h[keep].astype(np.uint64), sigs[own[keep]]
+        # Sets of this flush that share an entry are joined here; the entry goes on once.
+        order = np.argsort(h, kind="stable")
+        h, sig = h[order], sig[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        leader = sig[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else sig
+        tie = leader != sig
+        rows = [(int(table.column("flush")[0].as_py() % buckets), 1, _blob(sig[tie], "<i8"), _blob(leader[tie], "<i8"))] if tie.any() else []
+        h, sig = h[new], sig[new]
+        where = (h % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        h, sig = h[order], sig[order]
+        ends = np.searchsorted(where[order], np.arange(buckets + 1))
+        rows += [(int(k), 0, _blob(h[ends[k] : ends[k + 1]], "<u8"), _blob(sig[ends[k] : ends[k + 1]], "<i8")) for k in np.flatnonzero(np.diff(ends))]
+        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return select
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """A spanning forest of the classes that share an entry in a bucket."""
-    kind = table.column("kind").to_numpy()
-    both = [[np.frombuffer(v.as_buffer(), t) for v, k in zip(table.column(c), kind, strict=True) if k == want] for c, t, want in (("x", np.uint64, 0), ("y", np.int64, 0), ("x", np.int64, 1), ("y", np.int64, 1))]
+    both = [*_arrays(table, 0, ("x", "<u8"), ("y", "<i8")), *_arrays(table, 1, ("x", "<i8"), ("y", "<i8"))]
     h, own, a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in both)
     if len(h):
         order = np.argsort(h, kind="stable")
@@ -172,9 +267,10 @@ class Family:
         owner = np.repeat(np.arange(m), self.sizes)
         _, tid = np.unique(np.concatenate(sets), return_inverse=True)
         shared = np.bincount(tid)[tid] > 1  # a shingle of one set adds to no overlap
-        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[shared], minlength=m))])
-        self.own = [tid[shared][ends[i] : ends[i + 1]] for i in range(m)]  # rising in each set
-        self.keys = np.sort(tid[shared] * m + owner[shared])
+        tid, owner = tid[shared], owner[shared]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=m))])
+        self.own = [tid[ends[i] : ends[i + 1]] for i in range(m)]  # rising in each set
+        self.keys = np.sort(tid * m + owner)
         self.posts = self.keys % m
         # Sets whose sizes allow a link: 100 * smaller >= 75 * larger.
         self.low = np.searchsorted(100 * self.sizes, PERCENT * self.sizes, "left")
@@ -216,7 +312,7 @@ class Family:
                 got += self.scan(self.own[i], low, a) + self.scan(self.own[i], b, high)
             else:
                 got = self.scan(self.own[i], low, high)
-            known[i], left[i] = got, False
+            known[i], left[i] = got.astype(np.int32), False
             apart = weight[i] + weight[low:high] - 2 * got[low:high]
             nearer = apart < best[low:high]
             best[low:high][nearer] = apart[nearer]
@@ -228,7 +324,7 @@ class Family:
 
         side: with it, only links between sets of different sides count.
         """
-        count, ends = np.zeros(self.m, np.int64), []
+        count, root = np.zeros(self.m, np.int64), np.arange(self.m)
         for i, low, high, got in self.overlaps():
             o = got[low:high]
             hit = 100 * o >= PERCENT * (self.sizes[i] + self.sizes[low:high] - o)
@@ -237,13 +333,9 @@ class Family:
             z = np.flatnonzero(hit) + low
             z = z[z != i]
             count[i] = weight[z].sum()
-            z = z[z > i]
-            if len(z):
-                ends.append((np.full(len(z), i), z))
-        root = np.arange(self.m)
-        if ends:
-            nodes, roots = local_roots(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]))
-            root[nodes] = roots
+            joined = np.unique(root[np.append(z, i)])
+            if len(joined) > 1:
+                root[np.isin(root, joined)] = joined[0]
         return count, root
 
 
@@ -258,6 +350,7 @@ def _join_unit(table: pa.Table) -> pa.Table:
                 if sig not in sets and len(s) and signature(s) == sig:
                     sets[sig], about[sig] = s, (family, weight, block)
     lo, hi = (table.column(c)[0].as_py() for c in ("lo", "hi"))
+    del table
     by: dict[int, list[int]] = {}
     for sig in sorted(sets):
         by.setdefault(about[sig][0], []).append(sig)
@@ -270,6 +363,8 @@ def _join_unit(table: pa.Table) -> pa.Table:
             for i in np.flatnonzero((count > 0) | (root != np.arange(len(sigs)))):
                 for column, value in zip(out, (sigs[i], sigs[root[i]], int(count[i])), strict=True):
                     column.append(value)
+    sets.clear()
+    release()
     return pa.table([pa.array(v, pa.int64()) for v in out], names=["sig", "root", "links"])
 
 
@@ -279,14 +374,17 @@ def _solve(docs: DataFrame, key: str, text: str) -> DataFrame:
     ``fetch`` is the key, or a hash of the text where that is null.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("fetch"), F.col(text).alias("text"))
     survey = cut(_survey(rows))
     total = survey.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     narrow = survey.where("kind = 0").select("key", "fetch", "n", "sig")
     counts = _counts(survey)
-    buckets = max(parts, math.ceil(total / 4 / BUCKET))
-    edges = _entries(rows, counts, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    buckets = max(parts, math.ceil(total * (100 - PERCENT + EXTRA) / 100 / BUCKET))
+    back = _entries(rows, counts, buckets).groupBy("bucket").applyInArrow(_shared, _ROW_DDL)
+    chosen = back.groupBy("flush").applyInArrow(_selector(buckets), "bucket int, kind int, x binary, y binary")
+    edges = chosen.groupBy("bucket").applyInArrow(_meet, "a long, b long")
     family = connected(edges)
 
     classes = cut(narrow.where("sig is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.min("fetch").alias("fetch"), F.max("n").alias("n"), F.count(F.lit(1)).alias("weight")))
