@@ -12,7 +12,7 @@ window: rows are range-partitioned and sorted, each task hands on its first and
 those few are joined afterwards.
 
 Defined results: a null text counts as empty; the empty text has a digest; equal keys are
-ordered by text, nulls of the key come last; a single row is its own next; an empty table
+ordered by a hash of the text, nulls of the key come last; a single row is its own next; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm._batches import SLICE_BYTES, cut, slices
+from pactlake.llm._batches import SLICE_BYTES, bounded_batches, cut, slices
 
 BUCKETS, BOUND = 128, 256
 #: Offsets in the window of four bytes of each kind of triplet.
@@ -130,10 +130,11 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text, and likeness to both it and the next text."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     full = pa.schema([*_OUT, ("role", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
