@@ -1,6 +1,6 @@
-"""Connected components of an edge table by hooking to the smallest neighbour and contraction.
+"""Connected components of an edge table by hooking to a neighbour and contraction.
 
-Each round replaces every node by the smallest of itself and its neighbours and keeps the edges
+Each round replaces every node by the first, in that round's order, of itself and its neighbours and keeps the edges
 between different replacements; rounds are cut from their lineage by reliable checkpoints.  No
 node's edges are gathered anywhere: minima are pre-aggregated, and joins on a node of many edges
 can be split.  ``local_roots`` is the same for arrays in one task.
@@ -32,22 +32,33 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
+#: Rounds that hook to the smallest neighbour, before rounds in random orders.
+PLAIN_ROUNDS = 2
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
+    The first rounds hook by the nodes' own order, which ends stars around small nodes; later
+    ones by an order drawn anew each time, so that long chains shrink by a constant factor.
     Null ends and loops are ignored; repeated edges do no harm; no edge gives no row.
     """
     e = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct())
-    result = None
-    while True:
+    result, turn = None, 0
+    while result is None or not e.isEmpty():
+        key = lambda n, turn=turn: F.col(n) if turn < PLAIN_ROUNDS else F.xxhash64(F.col(n), F.lit(turn))
         both = e.select("a", "b").union(e.select("b", "a"))
-        low = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("parent")))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(key("b").alias("k"), F.col("b").alias("n"))).alias("m"))
+        low = cut(near.select("node", F.when(F.col("m.k") < key("node"), F.col("m.n")).otherwise(F.col("node")).alias("parent")))
         if result is None:
             result = low.withColumnRenamed("parent", "component")
         else:
-            result = result.join(low.select(F.col("node").alias("component"), "parent"), "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        of = lambda end: low.select(F.col("node").alias(end), F.col("parent").alias(f"p{end}"))
+            result = cut(result.join(low.select(F.col("node").alias("component"), "parent"), "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
+        of = lambda end, low=low: low.select(F.col("node").alias(end), F.col("parent").alias(f"p{end}"))
         moved = e.join(of("a"), "a").join(of("b"), "b").where("pa != pb")
         e = cut(moved.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct())
-        if e.isEmpty():
-            return result.select("node", "component")
+        turn += 1
+    if turn <= PLAIN_ROUNDS:
+        return result  # hooked to smaller nodes only
+    smallest = result.groupBy("component").agg(F.min("node").alias("smallest"))
+    return result.join(smallest, "component").select("node", F.col("smallest").alias("component"))
