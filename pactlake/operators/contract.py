@@ -176,6 +176,18 @@ class Contract:
         return df.withColumns(made) if made else df
 
 
+    def unmarshal(self, df: DataFrame, name: str, kind: T.StructType | None = None, *, into: str | None = None) -> DataFrame:
+        """Fills defaults in JSON text and reads it into typed columns; fields the type lacks are skipped.
+
+        kind: the target type, else the one that the schema describes.  Nothing is validated;
+        text that does not fit a field gives NULL there.
+        """
+        from pactlake.functions.inference import to_struct_type
+
+        filled = self.with_defaults(df, name)
+        return filled.withColumn(into or name, F.from_json(F.col(f"`{name}`"), kind or to_struct_type(self.node)))
+
+
 class _Fields:
     """Stands for the row itself: its fields are the frame's own columns."""
 

@@ -11,7 +11,6 @@ import copy
 import re
 from typing import Any
 
-from pactlake.functions import numbers
 from pactlake.plans.schema import Schema
 
 _CALL = re.compile(r"([A-Za-z_]\w*)\((.*)\)", re.DOTALL)
@@ -83,7 +82,7 @@ def _fill_property(value: dict, name: str, s: Schema, depth: int, trail: tuple[i
 def fill_json(node: Schema, text: str) -> str | None:
     """JSON text with defaults; None for text that is no JSON."""
     try:
-        value = numbers.parse(text)
-    except numbers.InvalidJson:
+        value = node.catalog.decode(text)
+    except ValueError:
         return None
-    return numbers.dumps(fill(node, value)) if isinstance(value, dict) else numbers.dumps(value)
+    return node.catalog.encode(fill(node, value) if isinstance(value, dict) else value)

@@ -417,14 +417,17 @@ class Native:
         out.append(("properties", "property_mismatch" if self.struct_mode else several("property_mismatch", "properties_mismatch", checks), all_of(checks)))
         match = {n: [s for p, s in found.items() if patterns.compiled(p).search(n)] for n in names}
         skip = set(props) if self.struct_mode else set()
-        out.append(("properties", "pattern_property_mismatch", all_of([self.field(s, v, n) for n in names if n not in skip for s in match[n]])))
+        own = [all_of([self.field(s, v, n) for s in match[n]]) for n in names if n not in skip]
+        out.append(("properties", several("pattern_property_mismatch", "pattern_properties_mismatch", own), all_of(own)))
         rest = [n for n in names if n not in props and not match[n]]
-        for k, code in (("additionalProperties", "additional_property_mismatch"), ("unevaluatedProperties", "unevaluated_property_mismatch")):
+        for k, one, many in (("additionalProperties", "additional_property_mismatch", "additional_properties_mismatch"), ("unevaluatedProperties", "unevaluated_property_mismatch", "unevaluated_properties_mismatch")):
             if k in node and not (k == "unevaluatedProperties" and "additionalProperties" in node):
-                out.append(("additionalProperties" if k[0] == "a" else "properties", code, all_of([self.field(node.get(k), v, n) for n in rest])))
+                own = [self.field(node.get(k), v, n) for n in rest]
+                out.append(("additionalProperties" if k[0] == "a" else "properties", several(one, many, own), all_of(own)))
         if "propertyNames" in node:
             bad = [n for n in names if not evaluate(node.get("propertyNames"), n).valid]
-            out.append(("propertyNames", "property_name_mismatch", all_of([negate(self._present(n, v)) for n in bad])))
+            own = [negate(self._present(n, v)) for n in bad]
+            out.append(("propertyNames", several("property_name_mismatch", "property_names_mismatch", own), all_of(own)))
         if not node.validates:
             return out
         there = lambda n: self._present(n, v) if n in names else False
@@ -451,9 +454,9 @@ class Native:
         props, found = node.get("properties", {}), node.get("patternProperties", {})
         required = node.get("required") if node.validates and isinstance(node.get("required"), list) else []
         has = lambda k: F.array_contains(keys, k)
-        one = lambda k: F.try_variant_get(v.col, f"$['{k}']", "variant") if v.variant and "'" not in k else F.element_at(m, k)
+        value = lambda k: F.try_variant_get(v.col, f"$['{k}']", "variant") if v.variant and "'" not in k else F.element_at(m, k)
         out = []
-        checks: list[Check] = [unless(~has(k), self.element(s, kind)(one(k))) for k, s in props.items() if s.boolean is not True]
+        checks: list[Check] = [unless(~has(k), self.element(s, kind)(value(k))) for k, s in props.items() if s.boolean is not True]
         checks += [has(k) for k, s in props.items() if k in required and s.get("default") is None and not evaluate(s, None).valid]
         out.append(("properties", several("property_mismatch", "properties_mismatch", checks), all_of(checks)))
         java = {p: patterns.java(p) for p in found}
@@ -464,7 +467,16 @@ class Native:
             check = self.element(s, kind)
             return F.forall(F.map_values(F.map_filter(m, lambda k, _: keep(k))), check)
 
-        out.append(("properties", "pattern_property_mismatch", all_of([pick(_like(java[p]), s) for p, s in found.items()])))
+        def more(keep: Callable[[Column], Column], s: Schema) -> Column:
+            """Whether more than one of the keys that are kept fails."""
+            if s.boolean is not None:
+                return F.size(F.filter(keys, keep)) > 1
+            check = self.element(s, kind)
+            return F.size(F.map_filter(m, lambda k, x: keep(k) & ~F.coalesce(check(x), F.lit(False)))) > 1
+
+        one_p = ("pattern_property_mismatch", "pattern_properties_mismatch")
+        pattern_code = (*one_p, more(_like(next(iter(java.values()))), next(iter(found.values())))) if len(found) == 1 else one_p[0]
+        out.append(("properties", pattern_code, all_of([pick(_like(java[p]), s) for p, s in found.items()])))
 
         def rest(k: Column) -> Column:
             c: Column = ~k.isin(list(props)) if props else F.lit(True)
@@ -472,11 +484,12 @@ class Native:
                 c = c & ~k.rlike(p)
             return c
 
-        for k, keyword, code in (("additionalProperties", "additionalProperties", "additional_property_mismatch"), ("unevaluatedProperties", "properties", "unevaluated_property_mismatch")):
+        for k, keyword, one, many in (("additionalProperties", "additionalProperties", "additional_property_mismatch", "additional_properties_mismatch"), ("unevaluatedProperties", "properties", "unevaluated_property_mismatch", "unevaluated_properties_mismatch")):
             if k in node and not (k == "unevaluatedProperties" and "additionalProperties" in node):
-                out.append((keyword, code, pick(rest, node.get(k))))
+                out.append((keyword, (one, many, more(rest, node.get(k))), pick(rest, node.get(k))))
         if "propertyNames" in node:
-            out.append(("propertyNames", "property_name_mismatch", F.forall(keys, lambda k: column(self.holds(node.get("propertyNames"), Value(k, T.StringType()))))))
+            named = lambda k: column(self.holds(node.get("propertyNames"), Value(k, T.StringType())))
+            out.append(("propertyNames", ("property_name_mismatch", "property_names_mismatch", F.size(F.filter(keys, lambda k: ~named(k))) > 1), F.forall(keys, named)))
         if not node.validates:
             return out
         if (most := limit(node.get("maxProperties"))) is not None:

@@ -44,9 +44,10 @@ class Catalog:
     on_unresolved: "error" raises when a reference without a target is evaluated, "ignore" lets it pass.
     """
 
-    def __init__(self, *, default_dialect: str = LATEST, base_uri: str = "", assert_format: bool = False, preserve_extra: bool = False, on_unresolved: str = "error"):
+    def __init__(self, *, default_dialect: str = LATEST, base_uri: str = "", assert_format: bool = False, preserve_extra: bool = False, on_unresolved: str = "error", decode: Callable[[str | bytes], Any] = numbers.parse, encode: Callable[[Any], str] = numbers.dumps):
         self.default_dialect, self.base_uri = default_dialect.rstrip("#"), base_uri
         self.assert_format, self.preserve_extra, self.on_unresolved = assert_format, preserve_extra, on_unresolved
+        self.decode, self.encode = decode, encode  # of instances; a codec of one's own answers for exact numbers
         self.documents: dict[str, Schema] = {}
         self.nodes: dict[int, Schema] = {}
         self.loaders: dict[str, Loader] = {}

@@ -206,6 +206,22 @@ def check_patterns(node: Schema) -> list[tuple[str, str]]:
     return bad
 
 
+def marshal(node: Schema) -> str:
+    """The document as deterministic JSON text; unknown keywords stay if the catalog preserves them."""
+    if node.boolean is not None:
+        return numbers.dumps(node.boolean)
+    keep = node.catalog.preserve_extra
+
+    def plain(value: Any) -> Any:
+        if isinstance(value, Schema):
+            return value.boolean if value.boolean is not None else {k: plain(v) for k, v in (value.keywords | (value.extra if keep else {})).items()}
+        if isinstance(value, list):
+            return [plain(v) for v in value]
+        return {k: plain(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+    return numbers.dumps(plain(node))
+
+
 def type_names(node: Schema) -> list[str]:
     names = node.get("type", [])
     return [names] if isinstance(names, str) else list(names)
