@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm._batches import slices
+from pactlake.llm._batches import bounded_batches, slices
 
 #: Lengths of grams; bit positions and hashes of a filter.
 ORDERS, BITS, HASHES = (2, 3, 4), 20, 2
@@ -163,6 +163,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, filters: SlicedFilters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: key, held_out, lang_pred, score."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(filters)  # 8 MB at most
     kind = docs.schema[key].dataType.simpleString()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactlake.llm._batches import TwoGenerationCache, slices
+from pactlake.llm._batches import TwoGenerationCache, bounded_batches, slices
 
 SPACE = "▁"
 #: Entries in each of the memo's two generations.
@@ -223,5 +223,6 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                     of_text.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactlake.llm._batches import TwoGenerationCache, cut, slices
+from pactlake.llm._batches import TwoGenerationCache, bounded_batches, cut, slices
 from pactlake.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
 
 #: Labelled rows that are learned from at most; terms of the learned lexicon at most.
@@ -164,6 +164,7 @@ def _learn_terms(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns from labelled rows that are not held out, ``sample`` of them at most."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(~held_out(key) & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     known = known.withColumn("draw", F.pmod(F.xxhash64("_key", F.lit("sample")), F.lit(1_000_000)))
     n = known.count()
