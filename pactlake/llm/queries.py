@@ -78,4 +78,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op5_license_scan": license_scan.oracle()}
+#: Components by reachability over links(a, b), both ways.
+_REACHED = "reached(node, component_id) as (select {key}, {key} from {rows} union select l.b, r.component_id from reached r join links l on l.a = r.node)"
+
+OP6_SQL = rf"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x20\x09-\x0D]+') w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) end h from words),
+sizes as (select doc_id, len(h) n from sets),
+shingles as (select doc_id, unnest(h) g from sets),
+common as (select x.doc_id a, y.doc_id b, count(*) c from shingles x join shingles y using (g) where x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+{_REACHED.format(key="doc_id", rows="sizes")}
+select s.doc_id, s.n n_shingles, (select min(r.component_id) from reached r where r.node = s.doc_id) component_id, (select count(*) from links l where l.a = s.doc_id) n_links from sizes s"""
+
+OP8_SQL = f"""
+with recursive vectors as (select vec_id, label, cast(embedding as double[]) v from embeddings),
+links as (select x.vec_id a, y.vec_id b from vectors x join vectors y on x.label = y.label and x.vec_id <> y.vec_id where list_cosine_similarity(x.v, y.v) >= 0.93),
+{_REACHED.format(key="vec_id", rows="vectors")},
+found as (select v.vec_id, (select count(*) from links l where l.a = v.vec_id) n_links, (select min(r.component_id) from reached r where r.node = v.vec_id) component_id from vectors v)
+select vec_id, n_links, component_id, vec_id = component_id kept from found"""
+
+ORACLES: dict[str, str] = {"op5_license_scan": license_scan.oracle(), "op6_jaccard_join": OP6_SQL, "op8_metric_join": OP8_SQL}
