@@ -5,7 +5,7 @@ where the vocabulary fits, else uint32) and ``mask`` (bit-packed booleans, false
 after a file's last id), each of ``sequence`` entries.  Sequence k of a file is found by
 arithmetic, and a memory map reads it without a copy.  A second Arrow file beside it holds the
 file's documents: key, first position, number of tokens.  Files are numbered in ascending key
-order (nulls first; equal keys by text), so the ids of all documents run through them in that
+order (nulls first; equal keys by a hash of the text), so the ids of all documents run through them in that
 order.
 
 Defined results: a null or empty text holds the end id alone; an empty table writes no file
@@ -15,6 +15,7 @@ with a rename, so a task that runs twice leaves the same file.
 
 from __future__ import annotations
 
+import array
 import os
 import re
 import uuid
@@ -28,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm._batches import TwoGenerationCache, shared_dir, slices
+from pactlake.llm._batches import TwoGenerationCache, bounded_batches, shared_dir, slices
 
 #: Tokens in a sequence, sequences in a record batch, entries in a generation of the memo.
-SEQUENCE, BATCH, MEMO = 2048, 64, 300_000
+SEQUENCE, BATCH, MEMO = 2048, 64, 1_000_000
 
 
 class ByteBpe:
@@ -49,7 +50,11 @@ class ByteBpe:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
-        self.memo, self.parts = TwoGenerationCache(memo), TwoGenerationCache(memo)
+        self.memo, self.parts = TwoGenerationCache(memo), TwoGenerationCache(memo // 4)
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in plain]
+        #: Byte-level vocabularies write a byte as a letter: itself if it prints, else one from 256 on.
+        self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
         self.odd_space = re.compile(r" (?=\s|$)")
 
     def words(self, text: str) -> list[str]:
@@ -68,35 +73,42 @@ class ByteBpe:
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         split = [self.words(t) for t in texts]
-        led = {w for words in split for w in words[1:]}
-        heads = [words[0] for words in split]
-        self._learn(led)
-        known, tail = self.memo.young, np.uint32(end).tobytes()
-        first = self._plain(heads)
+        tail = array.array("I", [end]).tobytes()
+        heads = [PRETOKEN.findall(words[0]) for words in split]
+        self._learn_parts({p for parts in heads for p in parts})
+        parts = self.parts.young
+        first = [b"".join(map(parts.__getitem__, own)) for own in heads]
+        self._learn(set().union(*split))  # with the heads: a few words more
+        known = self.memo.young
         return [b"".join([h, *map(known.__getitem__, words[1:]), tail]) for h, words in zip(first, split, strict=True)]
 
-    def _cut(self, word: str) -> list[str]:
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens, by the tokenizer's model on their bytes' letters."""
+        tokenize, letters = self.library.model.tokenize, self.letters
+        return [array.array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in parts]
 
-    def _plain(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch(words, add_special_tokens=False)]
+    def _learn_parts(self, parts: set[str]) -> None:
+        new = self.parts.settle(parts)
+        self.parts.young.update(zip(new, self._ids(new), strict=True))
 
     def _learn(self, words: set[str]) -> None:
         unknown = self.memo.settle(words)
         if not unknown:
             return
+        # A word of letters alone is one pre-token with its space; others are cut, and their
+        # pre-tokens of that kind are remembered as words too.
+        whole = [w for w in unknown if w.isalpha()]
+        find, odd = PRETOKEN.findall, [w for w in unknown if not w.isalpha()]
+        cuts = [find(" " + w) for w in odd]
+        inner = {p[1:] for c in cuts for p in c if p[0] == " " and p[1:].isalpha()}
+        inner.difference_update(whole)
+        new = whole + [w for w in inner if w not in self.memo.young and self.memo.recall(w) is None]
         young = self.memo.young
-        simple = [w.isalpha() for w in unknown]  # one pre-token with its space
-        plain = [w for w, s in zip(unknown, simple, strict=True) if s]
-        cuts = [PRETOKEN.findall(" " + w) for w, s in zip(unknown, simple, strict=True) if not s]
-        new = self.parts.settle({p for c in cuts for p in c} | {" " + w for w in plain})
+        young.update(zip(new, self._ids([" " + w for w in new]), strict=True))
+        self._learn_parts({p for c in cuts for p in c if p[0] != " " or not p[1:].isalpha()})
         parts = self.parts.young
-        for p, ids in zip(new, self._plain(new), strict=True):
-            parts[p] = ids
-        for w in plain:
-            young[w] = parts[" " + w]
-        for w, c in zip([w for w, s in zip(unknown, simple, strict=True) if not s], cuts, strict=True):
-            young[w] = b"".join([parts[p] for p in c])
+        for w, c in zip(odd, cuts, strict=True):
+            young[w] = b"".join([young[p[1:]] if p[0] == " " and p[1:].isalpha() else parts[p] for p in c])
 
 
 #: Fixed value: the pattern that byte-level vocabularies of this kind cut texts with.
@@ -170,7 +182,7 @@ def write(docs: DataFrame, path: str, folder: str, *, end: int, key: str = "doc_
     The manifest is made by the run that writes, so it has been materialised already.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("key").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    ordered = rows.repartitionByRange(F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
@@ -203,6 +215,7 @@ def write(docs: DataFrame, path: str, folder: str, *, end: int, key: str = "doc_
             fs.move(f"{own}.{suffix}", f"{name}.{suffix}")
         yield pa.RecordBatch.from_pydict({"part": [part], "uri": [f"{folder}/part-{part:06d}"], "n_docs": [len(n)], "n_tokens": [int(n.sum())]}, schema=MANIFEST)
 
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     schema = "part int, uri string, n_docs long, n_tokens long"
     # One row for each file: bounded by the number of partitions.
