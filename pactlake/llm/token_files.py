@@ -8,7 +8,8 @@ file's documents: key, first position, number of tokens.  Files are numbered in
 order (nulls first; equal keys by a hash of the text), so the ids of all documents run through them in that
 order.
 
-Defined results: a null or empty text holds the end id alone; an empty table writes no file
+Defined results: ids are the library's without special tokens put around a text; an added token
+written out in a text is that token's id; a null or empty text holds the end id alone; an empty table writes no file
 and reads back as no rows; repeated rows stay, in order.  Writing is deterministic and ends
 with a rename, so a task that runs twice leaves the same file.
 """
@@ -48,7 +49,12 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder()
+        #: Added tokens are matched before all else; the longest of those at a place counts.
+        self.added = {t.content: array.array("I", [i]).tobytes() for i, t in added.items()}
+        self.find_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
+        #: Tokens that take spaces, mind word ends or go through the normalizer are left to the library.
+        self.plain_added = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
         self.size = self.library.get_vocab_size()
         self.memo, self.parts = TwoGenerationCache(memo), TwoGenerationCache(memo // 4)
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -72,15 +78,36 @@ class ByteBpe:
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        split = [self.words(t) for t in texts]
         tail = array.array("I", [end]).tobytes()
+        holding = [i for i, t in enumerate(texts) if self.find_added.search(t)]
+        if not holding:
+            return [ids + tail for ids in self._plain(texts)]
+        if not self.plain_added:
+            own = {i: array.array("I", self.library.encode(texts[i], add_special_tokens=False).ids).tobytes() for i in holding}
+            rest = iter(self._plain([t for i, t in enumerate(texts) if i not in own]))
+            return [(own[i] if i in own else next(rest)) + tail for i in range(len(texts))]
+        # Each piece between added tokens is cut into pre-tokens on its own.
+        pieces = {i: self.find_added.split(texts[i]) for i in holding}
+        marks = {i: self.find_added.findall(texts[i]) for i in holding}
+        flat = iter(self._plain([x for i, t in enumerate(texts) for x in pieces.get(i, (t,))]))
+        out = []
+        for i in range(len(texts)):
+            parts = [next(flat)]
+            for mark in marks.get(i, ()):
+                parts += [self.added[mark], next(flat)]
+            out.append(b"".join([*parts, tail]))
+        return out
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens."""
+        split = [self.words(t) for t in texts]
         heads = [PRETOKEN.findall(words[0]) for words in split]
         self._learn_parts({p for parts in heads for p in parts})
         parts = self.parts.young
         first = [b"".join(map(parts.__getitem__, own)) for own in heads]
         self._learn(set().union(*split))  # with the heads: a few words more
         known = self.memo.young
-        return [b"".join([h, *map(known.__getitem__, words[1:]), tail]) for h, words in zip(first, split, strict=True)]
+        return [b"".join([h, *map(known.__getitem__, words[1:])]) for h, words in zip(first, split, strict=True)]
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         """Ids of single pre-tokens, by the tokenizer's model on their bytes' letters."""

@@ -383,6 +383,27 @@ def test_any_text_tokenizes_as_the_library(text):
     assert e.encode([text], 2) == [np.array([*e.library.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "  ", "a", "it's", "\n", "日本", "12", "word"]), max_size=9).map("".join))
+def test_added_tokens_in_a_text_are_ids_as_in_the_library(text):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(BYTES)
+    want = [np.array([*fresh.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for t in ("no token", text, "")]
+    assert token_files.encoder(BYTES).encode(["no token", text, ""], 2) == want
+
+
+def test_added_tokens_that_take_spaces_or_overlap(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    for flags in ({}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}):
+        t = Tokenizer.from_file(BYTES)
+        t.add_special_tokens([AddedToken("<x>", **flags), AddedToken("<x>y", **flags)])
+        t.save(path := f"{tmp_path}/t.json")
+        texts = ["plain text", "a <x> b<x>yz <x>y <|endoftext|><x>", "", "x <x>"]
+        assert token_files.ByteBpe(path).encode(texts, 2) == [np.array([*Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes() for x in texts]
+
+
 # 10
 
 
