@@ -48,10 +48,11 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndar
 
     Case is folded and whatever is no letter counts as a space; a gram holds at most one.
     """
-    gap = " " * max(ORDERS)  # no gram can run from one text into the next
+    # A text's gap stands before it, so that grams that start in the gap are the text's own.
+    gap = " " * max(ORDERS)
     lowered = [(t or "").lower() for t in texts]
     sizes = np.array([len(t) + len(gap) for t in lowered], np.int64)
-    code = np.frombuffer(gap.join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.frombuffer(gap.join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letters()[code]
     code = np.where(letter, code, np.uint32(32))
     of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)

@@ -108,6 +108,21 @@ def test_a_prediction_depends_on_its_text_alone():
     assert f.predict(["zzz", "hello world", "", "yyy"])[1][1] == alone[1][0]
 
 
+def test_neighbours_in_a_batch_change_nothing():
+    words = {"x": "hello world again water stone".split(), "y": "guten tag welt wasser stein".split()}
+    f = language_id.SlicedFilters.build({k: np.concatenate(language_id.grams(v)[0]) for k, v in words.items()})
+    texts = ["welt", "hello", "", None, "wasser", "water", "12", "again stone", "x", "hello"]
+    alone = [f.predict([t]) for t in texts]
+    for order in (range(len(texts)), range(len(texts))[::-1]):
+        own, _ = f.corrected([texts[i] for i in order])
+        lang, score = f.predict([texts[i] for i in order])
+        for at, i in enumerate(order):
+            assert (own[at] == f.corrected([texts[i]])[0][0]).all()
+            assert (lang[at], score[at]) == (alone[i][0][0], alone[i][1][0])
+    hashes, owners, _ = language_id.grams(["ab", "cd"])
+    assert [o.tolist() for o in owners] == [[0, 0, 0, 1, 1, 1], [0, 0, 1, 1], []]  # " a ab b ", " ab ab "; 4-grams need three letters
+
+
 # 3
 
 
