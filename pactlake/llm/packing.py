@@ -7,6 +7,10 @@ least padding in total.  Inside a bucket rows are numbered by (length, key) and
 gathering a bucket anywhere: rows are range-partitioned and numbered locally, and each task's
 count for each bucket shifts the numbers of the tasks after it.
 
+Lengths are whatever the caller counts.  The query and the pipeline count words between ASCII
+white space (``words``), not tokens of a tokenizer: budget, boundaries and padding are in such
+words, a batch can hold more than the budget in tokens, and a long text without spaces counts 1.
+
 Defined results: a null or empty text has length 0 and is packed like any other; rows longer
 than the budget form batches of one; equal rows keep separate places; null keys come first in
 their length; an empty table gives no rows.
