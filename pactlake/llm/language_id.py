@@ -32,11 +32,6 @@ ORDERS, BITS, HASHES = (2, 3, 4), 20, 2
 #: Labelled rows of a language that are learned from at most; grams a language keeps at most.
 SAMPLE, KEEP = 2000, 60_000
 MIN_COUNT, SHARE = 3, 0.25
-#: ``keep`` drops lower scores: 1.12 times an even share of the languages, 0.28 at most.  The 10,000
-#: labelled rows of the tables at sf0.1 (four languages) score 0.2857 at least, with one letter;
-#: half of 300 texts of random letters scored 0.288 at most.  An even share is the least score of
-#: any text with a hit, so with three languages or fewer only texts without one are dropped.
-EVEN_SHARES, LEAST = 1.12, 0.28
 _LETTER: np.ndarray | None = None
 
 
@@ -184,17 +179,11 @@ def predict(docs: DataFrame, filters: SlicedFilters, key: str = "doc_id", text:
     return rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, lang_pred string, score double")
 
 
-def least_score(languages: int) -> float:
-    """The score below which ``keep`` drops a text."""
-    return min(LEAST, EVEN_SHARES / max(1, languages))
-
-
-def keep(docs: DataFrame, filters: SlicedFilters, text: str = "text", least: float | None = None) -> DataFrame:
+def keep(docs: DataFrame, filters: SlicedFilters, text: str = "text", least: float = 0.0) -> DataFrame:
     """Drops the documents whose language can't be told: ``und``, none of whose grams a language
-    holds beyond chance, or that score below ``least`` (by default ``least_score``)."""
+    holds beyond chance, or that score below ``least``."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(filters)
-    least = least_score(len(filters.languages)) if least is None else least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

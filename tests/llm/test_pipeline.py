@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import corpus_pipeline
-import numpy as np
 import pytest
 from pactlake.llm import jaccard_join, language_id, packing, toxicity
 
@@ -63,11 +62,3 @@ def test_texts_of_no_learned_language_go(spark):
     df = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string")
     kept = {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, df, "").collect()}
     assert kept == {i for i, _, _ in rows} | {1002}
-
-
-def test_the_least_score_drops_even_shares(spark):
-    grams = [language_id.grams([w]) for w in ("hello", "hello", "hello", "hello hut")]
-    f = language_id.SlicedFilters.build({k: np.concatenate(g[0]) for k, g in zip("abcd", grams, strict=True)})
-    df = spark.createDataFrame([(1, "hello"), (2, "hut")], "doc_id long, text string")
-    assert [r.doc_id for r in language_id.keep(df, f).collect()] == [2] and language_id.keep(df, f, least=0.0).count() == 2
-    assert language_id.least_score(4) == 0.28 and language_id.least_score(2) == 0.28 and language_id.least_score(8) == 0.14
