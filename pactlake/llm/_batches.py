@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,16 +84,23 @@ def release() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a machine-local one only where none is set (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` or the context's own.
+
+    Where neither is set, a run within one machine gets a temporary folder; a cluster gets an error,
+    as its executors would not see such a folder.
+    """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if (held := sc._jsc.sc().getCheckpointDir()).isDefined():
             return held.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="pactlake-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        sc.setCheckpointDir(where)
+        return sc._jsc.sc().getCheckpointDir().get()
     return where
 
 

@@ -45,11 +45,30 @@ _T = _tables()
 
 
 def counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bucket counts, a row for each text of the concatenated bytes."""
+    """Bucket counts, a row for each text of the concatenated bytes; a long text goes by pieces."""
+    n = len(offsets) - 1
+    out = np.zeros((n, BUCKETS), np.int64)
+    at = 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        a, b = int(offsets[at]), int(offsets[end])
+        if b - a <= SLICE_BYTES:
+            out[at:end] = _counts(raw[a:b], offsets[at : end + 1] - a, b - a)
+        else:
+            for p in range(a, b, SLICE_BYTES):
+                part = raw[p : min(b, p + SLICE_BYTES + KINDS[-1][-1])]
+                out[at] += _counts(part, np.array([0, len(part)]), SLICE_BYTES)[0]
+        at = end
+    return out
+
+
+def _counts(raw: np.ndarray, offsets: np.ndarray, stop: int) -> np.ndarray:
+    """Of triplets that begin before ``stop``."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
     out = np.zeros(n * BUCKETS, np.int64)
     doc = np.repeat(np.arange(n, dtype=np.int32) * BUCKETS, sizes)
     left = np.repeat(offsets[1:], sizes) - np.arange(len(raw)) if len(raw) else np.zeros(0, np.int64)
+    left = left[:stop]
     for kind, places in enumerate(KINDS):
         width = places[-1] + 1
         at = np.flatnonzero(left >= width)

@@ -18,7 +18,8 @@ Two documents link when 100 * intersection >= 75 * union of their sets of word s
 Defined results: null or empty texts and texts without words have an empty set, n_shingles 0, no
 link, and are their own component; rows with a null key link like any other but lend no
 component id (null if a component has none else); rows that repeat a key count as documents of
-their own; other columns are ignored; an empty table gives no rows.
+their own; keys may be of any type that has an order; very long texts are hashed piece by piece;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,10 +59,12 @@ def _sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, li
 def _survey(docs: DataFrame) -> DataFrame:
     """Kind 0: key, n, sig of each row.  Kind 1: the slices of a task's sketch."""
 
+    kind = docs.schema["key"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(SKETCH, np.uint32), set()
-        schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("fetch", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("blob", pa.binary())])
         for b in batches:
+            schema = pa.schema([("kind", pa.int32()), ("key", b.schema.field("key").type), ("fetch", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("blob", pa.binary())])
             for part, sets in _sets(b, "text"):
                 sigs = [signature(s) if len(s) else None for s in sets]
                 new = [s for s, sig in zip(sets, sigs, strict=True) if sig is not None and not (sig in seen or seen.add(sig))]
@@ -72,9 +75,9 @@ def _survey(docs: DataFrame) -> DataFrame:
         release()
         if seen:
             blobs = [x.tobytes() for x in np.minimum(sketch, 65535).astype("<u2").reshape(SKETCH_SLICES, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(blobs), np.int32)), pa.nulls(len(blobs), pa.int64()), pa.nulls(len(blobs), pa.int64()), pa.array(range(len(blobs)), pa.int64()), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(blobs), np.int32)), pa.nulls(len(blobs), schema.field("key").type), pa.nulls(len(blobs), pa.int64()), pa.array(range(len(blobs)), pa.int64()), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "kind int, key long, fetch long, n long, sig long, blob binary")
+    return docs.mapInArrow(run, f"kind int, key {kind}, fetch long, n long, sig long, blob binary")
 
 
 def _counts(survey: DataFrame) -> np.ndarray:
@@ -371,12 +374,12 @@ def _join_unit(table: pa.Table) -> pa.Table:
 def _solve(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, fetch, n, component_id, n_links of each row, and whether it stands for its component.
 
-    ``fetch`` is the key, or a hash of the text where that is null.
+    ``fetch`` is a hash of key and text: rows that agree in both share it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("fetch"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), fetch_of(key, text).alias("fetch"), F.col(text).alias("text"))
     survey = cut(_survey(rows))
     total = survey.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     narrow = survey.where("kind = 0").select("key", "fetch", "n", "sig")
@@ -387,14 +390,16 @@ def _solve(docs: DataFrame, key: str, text: str) -> DataFrame:
     edges = chosen.groupBy("bucket").applyInArrow(_meet, "a long, b long")
     family = connected(edges)
 
-    classes = cut(narrow.where("sig is not null").groupBy("sig").agg(F.min("key").alias("rep"), F.min("fetch").alias("fetch"), F.max("n").alias("n"), F.count(F.lit(1)).alias("weight")))
-    member = cut(family.select(F.col("node").alias("sig"), F.col("component").alias("family")).join(classes, "sig"))
-    sizes = member.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
-    units = max(parts, math.ceil((member.agg(F.sum("n")).first()[0] or 0) / UNIT_SHINGLES))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = member.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    other = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0))))
-    placed = placed.withColumn("other", other).select(
+    # A class is known by its first row: keys before nulls, by key, then by hash.
+    first = F.min(F.struct(F.col("key").isNull().alias("keyless"), "key", "fetch")).alias("first")
+    classes = cut(narrow.where("sig is not null").groupBy("sig").agg(first, F.max("n").alias("n"), F.count(F.lit(1)).alias("weight")))
+    member = cut(family.select(F.col("node").alias("sig"), F.col("component").alias("family")).join(classes, "sig").select("sig", "family", "first.fetch", "n", "weight"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = cut(member.groupBy("family").agg(blocks.alias("blocks"), F.sum("n").alias("shingles")))
+    units = max(parts, math.ceil((large.agg(F.sum("shingles")).first()[0] or 0) / UNIT_SHINGLES))
+    placed = member.join(large.where("blocks > 1").select("family", "blocks"), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select(
         "sig", "family", "fetch", "weight", "block",
         F.when(F.col("blocks") > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(units))).alias("unit"),
         F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
@@ -403,13 +408,21 @@ def _solve(docs: DataFrame, key: str, text: str) -> DataFrame:
     found = cut(texts.groupBy("unit", "lo", "hi").applyInArrow(_join_unit, "sig long, root long, links long"))
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
     reached = connected(found.where("sig != root"), "sig", "root").withColumnRenamed("node", "sig")
-    joined = cut(classes.join(reached, "sig", "left").join(links, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
-    smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("fetch").alias("first"))
-    known = joined.join(smallest, "component").select("sig", "component_id", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    joined = cut(classes.join(reached, "sig", "left").join(links, "sig", "left"))
+    # The copy lets the join on a large component be split.
+    smallest = cut(joined.where("component is not null").groupBy("component").agg(F.min("first").alias("least")))
+    several = joined.join(smallest, "component").select("sig", "least", "links", "weight")
+    alone = joined.where("component is null").select("sig", F.col("first").alias("least"), "links", "weight")
+    known = several.unionByName(alone).select("sig", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     made = narrow.join(known, "sig", "left")
-    component = F.when(F.col("sig").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    stands = F.col("sig").isNull() | F.when(F.col("component_id").isNull(), F.col("fetch") == F.col("first")).otherwise(F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)))
-    return made.select("key", "fetch", "n", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), stands.alias("stands"))
+    component = F.when(F.col("sig").isNull(), F.col("key")).otherwise(F.col("least.key"))
+    stands = F.col("sig").isNull() | (F.col("fetch") == F.col("least.fetch"))
+    return made.select("key", "fetch", "n", "sig", component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), stands.alias("stands"))
+
+
+def fetch_of(key: str, text: str) -> F.Column:
+    """A hash of a row's key and text."""
+    return F.xxhash64(F.col(key), F.col(text))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -418,11 +431,17 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of links: the one with the smallest key; its row as it was.
+    """One row of each group of links, as it was: the one with the smallest key.
 
-    A key names a document: rows that repeat one stay if any of them does.  A row with a null
-    key stays if its group has no key at all and its text's hash is the smallest there.
+    Among rows that share that key the one with the smallest hash of key and text stays, of rows
+    that repeat both any one; a group without a key is represented by the smallest hash.  Rows
+    without words are linked with nothing, so all of them stay.
     """
-    kept = _solve(docs, key, text).where("stands").select(F.col("fetch").alias("_kept")).distinct()
-    own = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
-    return docs.join(kept, own == F.col("_kept"), "left_semi")
+    standing = cut(_solve(docs, key, text).where("stands").groupBy("fetch").agg(F.count("sig").alias("_linked")))
+    own = docs.withColumn("_fetch_of_row", fetch_of(key, text))
+    pick = lambda which: own.join(standing.where(which).select(F.col("fetch").alias("_fetch_of_row")), "_fetch_of_row", "left_semi")
+    kept = pick("_linked <= 1")
+    # Rows that repeat key and text are rare: a second pass finds them only if there are any.
+    if not standing.where("_linked > 1").isEmpty():
+        kept = kept.unionByName(pick("_linked > 1").dropDuplicates(["_fetch_of_row"]))
+    return kept.drop("_fetch_of_row")

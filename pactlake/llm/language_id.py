@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Each language has a Bloom filter of its n-grams.  The filters are stored sliced: one 64-bit
-word for each bit position, holding that bit of every language's filter, so that the AND of a
+Each language has a Bloom filter of its n-grams.  The filters are stored sliced: one 64-bit word
+(one more for each further 64 languages) for each bit position, holding that bit of every language's filter, so that the AND of a
 gram's words is the mask of all languages that contain it.  A text's grams are looked up
 together; the popcount of each language, less the hits that its filter's fill makes by chance,
 decides.  Counts cover the whole text.
@@ -31,6 +31,8 @@ from pactlake.llm._batches import bounded_batches, slices
 ORDERS, BITS, HASHES = (2, 3, 4), 20, 2
 #: Labelled rows of a language that are learned from at most; grams a language keeps at most.
 SAMPLE, KEEP = 2000, 60_000
+#: Languages that are learned at most; characters of a longer text that are looked at together.
+MOST, PIECE = 1024, 1 << 20
 MIN_COUNT, SHARE = 3, 0.25
 _LETTER: np.ndarray | None = None
 
@@ -43,30 +45,51 @@ def letters() -> np.ndarray:
     return _LETTER
 
 
-def grams(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each order the hashes of all grams and the text each belongs to; which texts have letters.
-
-    Case is folded and whatever is no letter counts as a space; a gram holds at most one.
-    """
-    # A text's gap stands before it, so that grams that start in the gap are the text's own.
-    gap = " " * max(ORDERS)
-    lowered = [(t or "").lower() for t in texts]
-    sizes = np.array([len(t) + len(gap) for t in lowered], np.int64)
-    code = np.frombuffer(gap.join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _hashed(code: np.ndarray, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the hashes of the grams that begin before ``stop``, and where they begin."""
     letter = letters()[code]
     code = np.where(letter, code, np.uint32(32))
-    of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     seen = np.cumsum(np.concatenate([[0], letter]), dtype=np.int64)
-    hashes, owners = [], []
     h = code * np.uint32(0x9E3779B1)
     for n in range(2, max(ORDERS) + 1):
         h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + code[n - 1 :] * np.uint32(0xC2B2AE3D)
         if n in ORDERS:
             good = np.flatnonzero(seen[n:] - seen[:-n] >= n - 1)
-            hashes.append(h[good] ^ np.uint32(n * 0x27D4EB2F & 0xFFFFFFFF))
-            owners.append(of[good])
-    ends = np.cumsum(sizes)
-    return hashes, owners, seen[ends] - seen[ends - sizes] > 0
+            good = good[good < stop]
+            yield h[good] ^ np.uint32(n * 0x27D4EB2F & 0xFFFFFFFF), good
+
+
+def _code(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of all grams and the text each belongs to, some at a time.
+
+    Case is folded and whatever is no letter counts as a space; a gram holds at most one.  A
+    text's gap stands before it, so that grams that start in the gap are the text's own.  A text
+    of over ``PIECE`` characters goes piece by piece; pieces share the characters that grams need.
+    """
+    gap = " " * max(ORDERS)
+    lowered = [(t or "").lower() for t in texts]
+    short = [i for i, t in enumerate(lowered) if len(t) <= PIECE]
+    if short:
+        code = _code(gap.join(["", *(lowered[i] for i in short), ""]))
+        of = np.repeat(np.array(short, np.int32), [len(lowered[i]) + len(gap) for i in short])
+        for h, at in _hashed(code, len(of)):
+            yield h, of[at]
+    for i, t in enumerate(lowered):
+        if len(t) > PIECE:
+            t = gap + t + gap
+            for p in range(0, len(t) - len(gap), PIECE):
+                stop = min(PIECE, len(t) - len(gap) - p)
+                for h, at in _hashed(_code(t[p : p + stop + max(ORDERS) - 1]), stop):
+                    yield h, np.full(len(at), i, np.int32)
+
+
+def lettered(texts: list[str]) -> np.ndarray:
+    """Which texts have a letter."""
+    return np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
 
 
 def positions(h: np.ndarray) -> list[np.ndarray]:
@@ -88,39 +111,40 @@ class SlicedFilters:
 
     @staticmethod
     def build(profiles: dict[str, np.ndarray]) -> SlicedFilters:
-        if len(profiles) > 64:
-            raise ValueError("a mask holds 64 languages")
-        words = np.zeros(1 << BITS, np.uint64)
-        for k, lang in enumerate(names := sorted(profiles)):
+        names = sorted(profiles)
+        words = np.zeros((-(-len(names) // 64), 1 << BITS), np.uint64)
+        fill = np.zeros(len(names))
+        for k, lang in enumerate(names):
             for at in positions(profiles[lang].astype(np.uint32)):
-                np.bitwise_or.at(words, at, np.uint64(1 << k))
-        fill = np.array([np.mean(words >> np.uint64(k) & np.uint64(1)) for k in range(len(names))])
+                np.bitwise_or.at(words[k // 64], at, np.uint64(1 << k % 64))
+            fill[k] = np.mean(words[k // 64] >> np.uint64(k % 64) & np.uint64(1))
         return SlicedFilters(names, words, fill**HASHES)
 
-    def corrected(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hits of each text in each language, less those expected by chance; texts with letters."""
-        hashes, owners, lettered = grams(texts)
+    def corrected(self, texts: list[str]) -> np.ndarray:
+        """Hits of each text in each language, less those expected by chance."""
         hits, total = np.zeros((len(self.languages), len(texts))), np.zeros(len(texts))
-        for h, of in zip(hashes, owners, strict=True):
-            mask = self.words[(at := positions(h))[0]]
-            for more in at[1:]:
-                mask &= self.words[more]
-            total += np.bincount(of, minlength=len(texts))
-            some = np.flatnonzero(mask)
-            mask, of = mask[some], of[some]
-            for k in range(len(self.languages)):
-                hits[k] += np.bincount(of[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=len(texts))
+        for h, owners in grams(texts):
+            at = positions(h)
+            total += np.bincount(owners, minlength=len(texts))
+            for group, words in enumerate(self.words):  # 64 languages each
+                mask = words[at[0]]
+                for more in at[1:]:
+                    mask &= words[more]
+                some = np.flatnonzero(mask)
+                mask, of = mask[some], owners[some]
+                for k in range(64 * group, min(64 * group + 64, len(self.languages))):
+                    hits[k] += np.bincount(of[(mask >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=len(texts))
         free = np.maximum(1 - self.chance, 1e-9)[:, None]
-        return np.maximum(0, (hits - self.chance[:, None] * total) / free).T, lettered
+        return np.maximum(0, (hits - self.chance[:, None] * total) / free).T
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Languages, and the share of the winner in all corrected hits."""
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
-        own, lettered = self.corrected(texts)
+        own, known = self.corrected(texts), lettered(texts)
         best, whole = own.argmax(1), own.sum(1)
-        score = np.where(lettered & (whole > 0), own[np.arange(len(texts)), best] / np.maximum(whole, 1e-9), 0.0)
-        return [self.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], np.clip(score, 0, 1)
+        score = np.where(known & (whole > 0), own[np.arange(len(texts)), best] / np.maximum(whole, 1e-9), 0.0)
+        return [self.languages[b] if ok else "und" for b, ok in zip(best, known, strict=True)], np.clip(score, 0, 1)
 
 
 def held_out(key: str = "doc_id") -> F.Column:
@@ -128,32 +152,40 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> SlicedFilters:
-    """Filters from labelled rows that are not held out; at most ``sample`` rows a language."""
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = MOST) -> SlicedFilters:
+    """Filters from labelled rows that are not held out.
+
+    At most ``sample`` rows a language, chosen by a hash of the key, then of the text, whatever keys repeat;
+    of more than ``most`` languages the rarest are not learned.
+    """
+    from pyspark.sql import Window
+
     known = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = {r[0]: min(1.0, sample / r[1]) for r in known.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(65).collect()}
-    if not share:
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit("sample")).alias("draw"))
+    part = F.pmod("draw", F.lit(1_000_000)) / 1_000_000
+    found = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min(part).alias("first")).orderBy(F.desc("rows"), "lang").limit(most).collect()
+    if not found:
         return SlicedFilters.build({})
-    wanted = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
-    rows = known.where(draw < F.element_at(wanted, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # Somewhat more than the sample, and the first key in any case: keys may repeat.
+    wanted = F.create_map(*[F.lit(x) for r in found for x in (r.lang, max(1.5 * sample / r.rows, r.first + 1e-9))])
+    drawn = known.where(part < F.element_at(wanted, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))
+    rows = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         for b in batches:
             for s in slices(b, "text"):
                 names = np.array(s.column("lang").to_pylist(), object)
-                hashes, owners, _ = grams(s.column("text").to_pylist())
-                for h, of in zip(hashes, owners, strict=True):
+                for h, of in grams(s.column("text").to_pylist()):
                     for name in set(names):
                         held.setdefault(name, []).append(h[(names == name)[of]])
-        for name, parts in held.items():
-            gram, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": [name] * len(gram), "gram": gram.astype(np.int64), "n": n})
+            for name, parts in held.items():
+                gram, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"lang": [name] * len(gram), "gram": gram.astype(np.int64), "n": n})
+            held.clear()
 
     # The sample is bounded; a language keeps its most frequent grams, a bounded number too.
-    from pyspark.sql import Window
-
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
     ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= KEEP)
     got = ranked.select("lang", "gram", "n").toPandas()
@@ -166,7 +198,7 @@ def predict(docs: DataFrame, filters: SlicedFilters, key: str = "doc_id", text:
     """For each row: key, held_out, lang_pred, score."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(filters)  # 8 MB at most
+    shared = spark.sparkContext.broadcast(filters)  # 8 MB for each 64 languages
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key), held_out(key).alias("held_out"), F.col(text).alias("_text"))
 

@@ -34,6 +34,8 @@ from pactlake.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
 SAMPLE, TERMS = 20_000, 4000
 #: A learned term occurs in so many toxic rows at least, and its smoothed log-odds reach so much.
 TERM_ROWS, TERM_ODDS = 5, 2.0
+#: Characters of a longer text that are looked at together; characters of a lexicon word at most.
+PIECE, LONGEST = 1 << 20, 1000
 #: Lengths of word beginnings; words between a lexicon word and a second-person word at most.
 STEMS, NEAR = (4, 5, 6), 4
 #: Words of insult and threat, second-person words in five languages.
@@ -90,42 +92,98 @@ class Lexicon:
         self.terms, self.memo = state["terms"], TwoGenerationCache(200_000)
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """A row of ``NAMES`` for each text."""
-        split = [t.lower().split() for t in texts]
-        young = self.memo.young
-        for w in self.memo.settle({w for words in split for w in words}):
-            self.memo.young[w] = self.look(w) or ()
-        young = self.memo.young
+        """A row of ``NAMES`` for each text; a text of over ``PIECE`` characters goes by pieces."""
         out = np.zeros((len(texts), len(NAMES)))
-        for i, (text, words) in enumerate(zip(texts, split, strict=True)):
-            if not words:
-                continue
-            n = len(words)
-            found = [(at, hit) for at, w in enumerate(words) if (hit := young[w])]
-            toxic = [(at, h) for at, h in found if h[0] or h[1] or h[2]]
-            you = np.array([at for at, h in found if h[3]])
-            near = 0
-            if len(you) and toxic:
-                at = np.array([a for a, _ in toxic])
-                k = np.searchsorted(you, at)
-                gap = np.minimum(np.abs(you[np.minimum(k, len(you) - 1)] - at), np.abs(you[np.maximum(k - 1, 0)] - at))
-                near = int((gap <= NEAR).sum())
-            spelt = 0
-            if len(_SPACED.findall(text)) >= 3:
-                spelt = sum(undo(m.lower()) in INSULTS or undo(m.lower()) in self.terms for m in _SPELT.findall(text))
-            c = np.bincount(_CLASS[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)], minlength=7)
-            chars = len(text)
-            shouted = len(_SHOUT.findall(text))
-            fixed, learned = sum(h[0] for _, h in toxic) + spelt, sum(h[1] > 0 for _, h in toxic)
-            weights = [max(h[1], h[2]) for _, h in toxic]
-            out[i] = (
-                100 * fixed / n, 100 * learned / n, 100 * sum(weights) / n, max(weights, default=0.0), 100 * sum(h[2] > 0 for _, h in toxic) / n,
-                100 * near / n, 100 * len(you) / n, c[1] / chars, 100 * shouted / n, c[4] / chars, 100 * c[5] / chars, c[3] / chars, c[6] / chars,
-                100 * (sum(h[4] for _, h in toxic) + spelt) / n, min(len(toxic) + spelt, 50), np.log1p(n),
-            )
+        short = [i for i, t in enumerate(texts) if len(t) <= PIECE]
+        split = [words_of(texts[i]) for i in short]
+        known = self._known({w for words in split for w in words})
+        for i, words in zip(short, split, strict=True):
+            if words:
+                out[i] = self._count(texts[i], words, known, 3).row()
+        for i, text in enumerate(texts):
+            if len(text) > PIECE:
+                tally = Tally()
+                for piece in pieces(text, PIECE):
+                    words = words_of(piece)
+                    self._count(piece, words, self._known(set(words)), 1, tally)
+                out[i] = tally.row()
         return out
 
+    def _known(self, words: set[str]) -> dict[str, tuple]:
+        for w in self.memo.settle(words):
+            self.memo.young[w] = self.look(w) or ()
+        return self.memo.young
+
+    def _count(self, text: str, words: list[str], known: dict[str, tuple], spaced: int, tally: Tally | None = None) -> Tally:
+        """Adds a text or a piece of one; spaced: single letters in a row without which none is spelt out in it."""
+        t = tally or Tally()
+        found = [(t.words + at, hit) for at, w in enumerate(words) if (hit := known[w])]
+        t.toxic += [(at, h) for at, h in found if h[0] or h[1] or h[2]]
+        t.you += [at for at, h in found if h[3]]
+        t.words += len(words)
+        t.chars += len(text)
+        n = len(_SPACED.findall(text))
+        t.spaced += n
+        if n >= spaced:
+            t.spelt += sum(undo(m.lower()) in INSULTS or undo(m.lower()) in self.terms for m in _SPELT.findall(text))
+        t.signs += np.bincount(_CLASS[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)], minlength=7)
+        t.shouted += len(_SHOUT.findall(text))
+        return t
+
 
+@dataclass
+class Tally:
+    """Counts of one text."""
+
+    words: int = 0
+    chars: int = 0
+    shouted: int = 0
+    spaced: int = 0
+    spelt: int = 0
+    signs: np.ndarray = field(default_factory=lambda: np.zeros(7, np.int64))
+    toxic: list[tuple[int, tuple]] = field(default_factory=list)
+    you: list[int] = field(default_factory=list)
+
+    def row(self) -> tuple:
+        n, chars, c, toxic = self.words, self.chars, self.signs, [h for _, h in self.toxic]
+        if not n:
+            return (0.0,) * len(NAMES)
+        you, near = np.array(self.you), 0
+        if len(you) and toxic:
+            at = np.array([a for a, _ in self.toxic])
+            k = np.searchsorted(you, at)
+            gap = np.minimum(np.abs(you[np.minimum(k, len(you) - 1)] - at), np.abs(you[np.maximum(k - 1, 0)] - at))
+            near = int((gap <= NEAR).sum())
+        spelt = self.spelt if self.spaced >= 3 else 0
+        fixed, learned = sum(h[0] for h in toxic) + spelt, sum(h[1] > 0 for h in toxic)
+        weights = [max(h[1], h[2]) for h in toxic]
+        return (
+            100 * fixed / n, 100 * learned / n, 100 * sum(weights) / n, max(weights, default=0.0), 100 * sum(h[2] > 0 for h in toxic) / n,
+            100 * near / n, 100 * len(you) / n, c[1] / chars, 100 * self.shouted / n, c[4] / chars, 100 * c[5] / chars, c[3] / chars, c[6] / chars,
+            100 * (sum(h[4] for h in toxic) + spelt) / n, min(len(toxic) + spelt, 50), np.log1p(n),
+        )
+
+
+def words_of(text: str) -> list[str]:
+    """The words; one of over ``LONGEST`` characters counts, but is no lexicon word."""
+    words = text.lower().split()
+    if words and max(map(len, words)) > LONGEST:
+        return [w if len(w) <= LONGEST else "" for w in words]
+    return words
+
+
+def pieces(text: str, size: int) -> Iterator[str]:
+    """A long text cut at white space after two letters, where it cuts no word and no word that is
+    spelt out; a piece is longer than ``size`` where there is no such place."""
+    at = 0
+    while at < len(text):
+        found = _BREAK.search(text, at + size)
+        end = found.end() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+_BREAK = re.compile(r"[^\W\d_]{2}\s")
 _SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 _SPACED = re.compile(r"\b[^\W\d_][ .\-_*](?=[^\W\d_]\b)")
 
@@ -163,20 +221,22 @@ def _learn_terms(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learns from labelled rows that are not held out, ``sample`` of them at most."""
+    """Learns from labelled rows that are not held out, ``sample`` of them at most.
+
+    Labels other than 0 count as 1.  Of rows that repeat a key the smallest text is learned from.
+    """
     bounded_batches(docs.sparkSession)
-    known = labels.where(~held_out(key) & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    known = known.withColumn("draw", F.pmod(F.xxhash64("_key", F.lit("sample")), F.lit(1_000_000)))
-    n = known.count()
-    chosen = known.where(F.col("draw") < int(1_000_000 * min(1.0, sample / max(n, 1))))
-    # The sample is bounded by ``sample`` narrow rows, so it may be broadcast.
-    rows = cut(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key"))
-    by = {r.toxic: r[1] for r in rows.groupBy("toxic").count().collect()}
-    if not by.get(0) or not by.get(1):
-        p = by.get(1, 0) / max(1, by.get(0, 0) + by.get(1, 0)) if by else 0.5
+    known = labels.where(~held_out(key) & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max((F.col(label) != 0).cast("int")).alias("toxic"))
+    # At most ``sample`` narrow rows, so they may be broadcast; a key that repeats gives one text.
+    chosen = known.withColumn("draw", F.pmod(F.xxhash64("_key", F.lit("sample")), F.lit(1 << 60))).orderBy("draw", "_key").limit(sample)
+    rows = cut(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key").groupBy("_key").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"), F.min("draw").alias("draw")))
+    share = {r.toxic: r[1] for r in rows.groupBy("toxic").count().collect()}
+    if not share.get(0) or not share.get(1):
+        p = share.get(1, 0) / max(1, share.get(0, 0) + share.get(1, 0)) if share else 0.5
         return Model(Lexicon(), Trees(0.0, np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2))), Isotonic(np.array([0.0, 1.0]), np.array([p, p])))
     fitted = rows.where("draw % 4 != 0")
-    lexicon = Lexicon(_learn_terms(fitted, by[1], by[0]))
+    by = {r.toxic: r[1] for r in fitted.groupBy("toxic").count().collect()}
+    lexicon = Lexicon(_learn_terms(fitted, by.get(1, 0), by.get(0, 0)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pactlake.llm import boosting, components, fingerprints, jaccard_join, language_id, license_scan, metric_join, packing, sentencepiece_codec, token_files, toxicity, url_filter
+from pactlake.llm import boosting, components, fingerprints, jaccard_join, language_id, license_scan, metric_join, packing, sentencepiece_codec, shingles, token_files, toxicity, url_filter
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -94,33 +94,114 @@ def test_language(spark, nothing):
     assert kept.columns == df.columns and kept.count() == df.count() - 2
 
 
+def gram_hashes(texts):
+    return [h for h, _ in language_id.grams(texts)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab A\n\t é\x0b", max_size=80), st.integers(1, 9))
+def test_long_texts_have_the_same_shingles_and_triplets(text, piece):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ends = np.array([0, len(raw)])
+    if len(raw):
+        assert shingles._long_set(raw, piece).tolist() == shingles.shingle_sets(raw, ends)[0].tolist()
+    whole = fingerprints.counts(raw, ends)
+    full = fingerprints.SLICE_BYTES
+    try:
+        fingerprints.SLICE_BYTES = piece
+        assert (fingerprints.counts(raw, ends) == whole).all()
+    finally:
+        fingerprints.SLICE_BYTES = full
+
+
+def test_triplet_counts_as_by_hand():
+    texts = [b"abcde", b"", b"xy", b"abc"]
+    got = fingerprints.counts(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for row, t in zip(got, texts, strict=True):
+        want = np.zeros(fingerprints.BUCKETS, int)
+        for k, (a, b, c) in enumerate(fingerprints.KINDS):
+            for i in range(len(t) - c):
+                h = 0
+                for place, at in enumerate((a, b, c)):
+                    h ^= hashlib.sha256(f"triplet/{k}/{place}/{t[i + at]}".encode()).digest()[0] % fingerprints.BUCKETS
+                want[h] += 1
+        assert row.tolist() == want.tolist()
+
+
+def test_quartile_codes_as_by_hand():
+    text = b"some text whose triplets fill a few of the buckets, some of them twice: some text whose"
+    c = fingerprints.counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].tolist()
+    q = sorted(c)
+    quarters = [q[31], q[63], q[95]]
+    d = fingerprints.digest([text])[0]
+    assert d[: fingerprints.BUCKETS].tolist() == [sum(x > v for v in quarters) for x in c]
+    assert d[-1] == hashlib.sha256(text).digest()[0]
+
+
+def test_long_texts_have_the_same_grams(monkeypatch):
+    texts = ["the first text, with words", None, "x" * 9, "", "Un deuxième texte; ß und İ " * 7]
+    whole = [sorted(zip(o.tolist(), h.tolist(), strict=True)) for h, o in language_id.grams(texts)]
+    for piece in (1, 2, 5, 20):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert sorted(x for h, o in language_id.grams(texts) for x in zip(o.tolist(), h.tolist(), strict=True)) == sorted(sum(whole, []))
+
+
+def test_predictions_as_by_brute_force():
+    """The language whose gram set, tested one by one, holds most of a text's grams; exact sets instead of filters."""
+    words = {"x": "hello world again water stone bread".split(), "y": "guten tag welt wasser stein brot".split(), "z": "bonjour monde encore eau pierre pain".split()}
+
+    def cut(t):
+        padded = f"    {t}    "
+        every = [padded[i : i + n] for n in language_id.ORDERS for i in range(len(padded) - n + 1)]
+        return [g for g in every if sum(map(str.isalpha, g)) >= len(g) - 1]
+
+    sets = {k: {g for w in v for g in cut(w)} for k, v in words.items()}
+    f = language_id.SlicedFilters.build({k: np.unique(np.concatenate(gram_hashes(v))) for k, v in words.items()})
+    for text in ["hello water", "wasser und brot", "le pain et eau", "stein stone pierre stein"]:
+        best = max(sorted(sets), key=lambda k: sum(g in sets[k] for g in cut(text)))
+        assert f.predict([text])[0] == [best]
+
+
+def test_more_than_64_languages_and_a_bounded_sample(spark):
+    names = [f"l{i:03d}" for i in range(70)]
+    profiles = {n: np.unique(np.random.default_rng(i).integers(0, 1 << 32, 300).astype(np.uint32)) for i, n in enumerate(names)}
+    f = language_id.SlicedFilters.build(profiles)
+    assert f.words.shape[0] == 2
+    for i in (0, 63, 64, 69):
+        for p in language_id.positions(profiles[names[i]]):
+            assert (f.words[i // 64][p] >> np.uint64(i % 64) & np.uint64(1)).all()
+    rows = [(1 if zlib.crc32(b"1") % 4 != 2 else 0, "hello world again", "aa")] * 300 + [(k, f"guten tag {k}", "bb") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    f = language_id.learn(df, sample=8)
+    assert f.languages == ["aa", "bb"] and f.predict(["hello again"])[0] == ["aa"]
+
+
 def test_filters_hold_every_gram_and_correct_for_chance():
     own = np.arange(5000, dtype=np.uint32) * np.uint32(2654435761)
     f = language_id.SlicedFilters.build({"x": own, "y": own[:10] + np.uint32(7)})
-    mask = np.bitwise_and.reduce([f.words[p] for p in language_id.positions(own)])
+    mask = np.bitwise_and.reduce([f.words[0][p] for p in language_id.positions(own)])
     assert (mask & np.uint64(1)).all()
     assert 0 < f.chance[0] < 0.01 and f.chance[1] < f.chance[0]
 
 
 def test_a_prediction_depends_on_its_text_alone():
-    f = language_id.SlicedFilters.build({"x": language_id.grams(["hello world again"])[0][1], "y": language_id.grams(["guten tag welt"])[0][1]})
+    f = language_id.SlicedFilters.build({"x": gram_hashes(["hello world again"])[1], "y": gram_hashes(["guten tag welt"])[1]})
     alone = f.predict(["hello world"])
     assert f.predict(["zzz", "hello world", "", "yyy"])[1][1] == alone[1][0]
 
 
 def test_neighbours_in_a_batch_change_nothing():
     words = {"x": "hello world again water stone".split(), "y": "guten tag welt wasser stein".split()}
-    f = language_id.SlicedFilters.build({k: np.concatenate(language_id.grams(v)[0]) for k, v in words.items()})
+    f = language_id.SlicedFilters.build({k: np.concatenate(gram_hashes(v)) for k, v in words.items()})
     texts = ["welt", "hello", "", None, "wasser", "water", "12", "again stone", "x", "hello"]
     alone = [f.predict([t]) for t in texts]
     for order in (range(len(texts)), range(len(texts))[::-1]):
-        own, _ = f.corrected([texts[i] for i in order])
+        own = f.corrected([texts[i] for i in order])
         lang, score = f.predict([texts[i] for i in order])
         for at, i in enumerate(order):
-            assert (own[at] == f.corrected([texts[i]])[0][0]).all()
+            assert (own[at] == f.corrected([texts[i]])[0]).all()
             assert (lang[at], score[at]) == (alone[i][0][0], alone[i][1][0])
-    hashes, owners, _ = language_id.grams(["ab", "cd"])
-    assert [o.tolist() for o in owners] == [[0, 0, 0, 1, 1, 1], [0, 0, 1, 1], []]  # " a ab b ", " ab ab "; 4-grams need three letters
+    assert [o.tolist() for _, o in language_id.grams(["ab", "cd"])] == [[0, 0, 0, 1, 1, 1], [0, 0, 1, 1], []]  # " a ab b ", " ab ab "; 4-grams need three letters
 
 
 # 3
@@ -370,6 +451,37 @@ def test_vectors_as_by_brute_force(spark, block):
     assert len(got) == len(rows) and metric_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_magnitude_and_shared_or_missing_keys(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e-200, 1e-200], 1), (3, [1.0, 0.1], 1), (4, [5e-324, 5e-324], 1), (5, [1.0, 1.0], 1), (None, [2.0, 0.21], 1), (3, [1e300, -1e300], 1), (None, [0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, metric_join.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (4, 3, 1, False), (5, 3, 1, False), (3, 1, 3, True), (None, 1, 3, False), (3, 0, 3, True), (None, 0, None, True)], key=str)
+
+
+@pytest.mark.parametrize(("block", "most_cells"), [(16, 1 << 18), (8, 20)])
+def test_pivots_prune_clusters_and_lose_no_link(spark, block, most_cells):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(24, 16))
+    x = np.repeat(centres, 16, 0) + rng.normal(scale=0.12, size=(24 * 16, 16))
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.arange(len(x)) % 2
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    got = {r.vec_id: r for r in metric_join.near_duplicates(df, block=block, most_cells=most_cells).collect()}
+    assert all(got[i].n_links == linked[i].sum() - 1 for i in range(len(x)))
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.array([root[linked[i]].min() for i in range(len(x))])
+    assert all(got[i].component_id == root[i] for i in range(len(x)))
+    # The same bounds, in this process: well over half of all cells are ruled out.
+    p = metric_join.choose_pivots(unit[label == 0], 12)
+    own = metric_join._distances(x[label == 0], p)
+    cells = metric_join.Cells(range(12), [1] * 12, [own[own.argmin(1) == c].min(1).max() for c in range(12)])
+    kept = cells.near(x[label == 0], own.argmin(1), p, np.sqrt(2 - 2 * 0.93) + metric_join.SLACK)
+    assert kept.mean() < 0.5
+
+
 # 9
 
 
@@ -452,6 +564,33 @@ def test_obfuscated_spellings_count():
     assert x[1, toxicity.NAMES.index("obfuscated")] > 0 and x[0, toxicity.NAMES.index("near_you")] > 0
 
 
+def test_long_texts_have_the_same_features(monkeypatch):
+    lexicon = toxicity.Lexicon({"vile": 3.0, "^stin": 2.5})
+    texts = ["You vile, st1nking i d i o t! NOW ab c d e f you " * 9, "x " * 40, "", "no space" + "y" * 2000, "ihr und " + "i d i o t " * 8, "tu es laid\u2003et toi " * 12]
+    whole = lexicon.features(texts)
+    for size in (1, 7, 60):
+        monkeypatch.setattr(toxicity, "PIECE", size)
+        assert (lexicon.features(texts) == whole).all()
+
+
+def test_features_as_by_hand():
+    lexicon = toxicity.Lexicon({"vile": 3.0, "^stin": 2.5})
+    row = dict(zip(toxicity.NAMES, lexicon.features(["You vile FOO! i d i o t 12 stink,"])[0], strict=True))
+    n, chars = 10, 33
+    assert row["words"] == np.log1p(n) and row["fixed"] == 100 / n and row["learned"] == 100 / n
+    assert row["weight"] == pytest.approx(100 * 5.5 / n) and row["strongest"] == 3.0 and row["stem"] == 100 / n
+    assert row["near_you"] == 100 / n and row["you"] == 100 / n and row["shouted"] == 100 / n and row["obfuscated"] == 100 / n
+    assert row["capitals"] == 4 / chars and row["exclaims"] == 100 / chars and row["punctuation"] == 1 / chars and row["digits"] == 2 / chars and row["hits"] == 3
+
+
+def test_a_repeated_key_gives_one_row_to_learn_from(spark):
+    keys = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    docs = spark.createDataFrame([(keys[0], "some words")] * 300 + [(k, "vile words you" if k % 2 else "kind words") for k in keys], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in keys], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, sample=24)
+    assert len(toxicity.score(docs, model).collect()) == docs.count()
+
+
 def test_boosting_and_calibration():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(800, 3))
