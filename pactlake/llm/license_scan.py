@@ -1,32 +1,33 @@
 """Licence scan: MinHash bands over overlapping windows retrieve templates, containment verifies.
 
-All of it is DataFrame expressions: words are hashed, five-word shingles are hashed from those,
-and minima under ``BANDS`` hash functions are kept for blocks that double in size from level to
-level.  A template of L shingles belongs to the level whose blocks hold B shingles with
-B < L <= 2B; a window is three neighbouring blocks, and windows start at every block, so one of
-them always covers a whole occurrence.  Each band is one minimum.  A window that holds 75 % of a
-template has a Jaccard similarity of at least 0.22 with it (0.375 / 1.625 or more), hence shares
-a band with probability 1 - 0.77 ** 32 = 0.9997 at the least; for the usual full match it is
+All of it is DataFrame expressions and joins: words are hashed, five-word shingles are hashed from
+those.  A template of L shingles has blocks of B shingles with B < L <= 2B; a window is three
+neighbouring blocks, and windows start at every block, so one of them always covers a whole
+occurrence.  Each band is one minimum under a hash function of its own.  A window that holds 75 %
+of a template has a Jaccard similarity of at least 0.22 with it (0.375 / 1.625 or more), hence
+shares a band with probability 1 - 0.77 ** 32 = 0.9997 at the least; for the usual full match it is
 above 1 - 0.66 ** 32.  One-shingle templates are matched at similarity 1.  A retrieved window
 matches if it contains at least 75 % of the template's shingles, compared exactly.
 
-A text that shares no shingle with any template can share no minimum either, so such texts skip
-the windows; this changes no result.
+The band index is a table with a row for each template and band: the minimum, and the shingle that
+has it.  A window can share that minimum only if it holds that shingle, so a text's shingles are
+joined to the index, and the minimum of the windows around a shingle is taken only where one meets an entry.  The
+windows that come out are those that full tables of minima would give.  The index goes to every
+task while ``INDEX_ROWS`` and ``TEMPLATE_WORDS`` bound it; larger sets of templates are joined by a shuffle.
 
 Defined results: null and empty texts, and texts with no match, get an empty list; fewer than
-five words form one shingle; repeated rows repeat their result; other columns are ignored.
+five words form one shingle; templates without a word match nothing; repeated rows repeat their
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, CONTAINED, BANDS = 5, 0.75, 32
-#: Templates' shingles in total at most: they are literals of the plan.
-MOST = 20_000
+#: Rows of a band index, and words of templates, that may be broadcast: some 50 MB.
+INDEX_ROWS, TEMPLATE_WORDS = 1 << 19, 1 << 21
 #: Short licence notices and the openings of common licence texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -42,8 +43,6 @@ TEMPLATES = {
 }
 
 
-
-
 def _shingles(docs: DataFrame, text: str) -> DataFrame:
     """Adds ``_h``: the shingle hashes in order."""
     hashed = docs.withColumn("_w", F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
@@ -52,71 +51,57 @@ def _shingles(docs: DataFrame, text: str) -> DataFrame:
     return hashed.withColumn("_h", F.when(F.size("_w") == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), one)))
 
 
-def _minima(h: Column) -> Column:
-    """For each band, every shingle's hash under that band's function."""
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda j: F.transform(h, lambda x: F.xxhash64(x, j)))
-
-
-def _doubled(m: Column) -> Column:
-    """Minima of blocks twice as large."""
-    half = lambda row: F.transform(F.sequence(F.lit(0), F.floor((F.size(row) - 1) / 2).cast("int")), lambda i: F.least(F.get(row, 2 * i), F.get(row, 2 * i + 1)))
-    return F.transform(m, half)
-
-
-class Templates:
-    """Templates with their shingles and bands, computed by the same expressions as the texts'."""
-
-    def __init__(self, spark: SparkSession, templates: dict[str, str]):
-        rows = spark.createDataFrame(sorted(templates.items()), "id string, text string")
-        got = _shingles(rows, "text").select("id", F.array_distinct("_h").alias("h"), F.transform(_minima(F.col("_h")), lambda m: F.array_min(m)).alias("bands")).collect()
-        self.all = [(r.id, r.h, r.bands) for r in got if r.h]
-        if sum(len(h) for _, h, _ in self.all) > MOST:
-            raise ValueError(f"templates have more than {MOST} shingles")
-
-    def level(self, n: int) -> int:
-        """The level whose blocks hold b shingles with b < n <= 2b, or 0 for one shingle."""
-        return max(0, (n - 1).bit_length())
-
-
-def _longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in values])
+def _signed(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """license, its distinct shingles, their number, and the blocks and windows that it is sought in."""
+    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
+    t = _shingles(rows, "text").select("license", F.array_distinct("_h").alias("shingles")).withColumn("n", F.size("shingles"))
+    block = F.when(F.col("n") == 1, F.lit(1)).otherwise(F.expr("shiftleft(1, length(bin(n - 1)) - 1)"))
+    return t.select("license", "shingles", "n", block.alias("block"), F.when(F.col("n") == 1, F.lit(1)).otherwise(F.lit(3)).alias("wide"))
 
 
-def _retrieved(bands: list[int], wide: int):
-    """Whether window k shares a band with a template."""
-    return lambda k: F.exists(F.zip_with("_m", _longs(bands), lambda m, b: F.array_min(F.slice(m, k + 1, wide)) == b), lambda same: same)
+def _index(signed: DataFrame) -> DataFrame:
+    """For each template and band: the minimum, and the shingle whose hash it is."""
+    bands = F.sequence(F.lit(1), F.when(F.col("n") == 1, F.lit(1)).otherwise(F.lit(BANDS)))
+    rows = signed.select("license", "shingles", "n", "block", "wide", F.explode(bands).alias("band"))
+    least = F.array_min(F.transform("shingles", lambda x: F.struct(F.xxhash64(x, F.col("band")).alias("minimum"), x.alias("met")))).alias("least")
+    return rows.select("license", "n", "block", "wide", "band", least).select("license", "n", "block", "wide", "band", "least.minimum", "least.met")
 
 
-def _contained(h: list[int], block: int, wide: int):
-    """The share of a template's shingles that window k holds."""
-    return lambda k: F.size(F.array_intersect(F.slice("_h", k * block + 1, block * wide), _longs(h))) / len(h)
+def _window(k: Column) -> Column:
+    """The shingles of the window that starts at block k."""
+    return F.slice("_h", (k * F.col("block") + 1).cast("int"), F.col("block") * F.col("wide"))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", index_rows: int = INDEX_ROWS) -> DataFrame:
     """For each row: key and ``matches``, an array of (license, containment), by name."""
-    own = Templates(docs.sparkSession, TEMPLATES if templates is None else templates)
-    nothing = F.array().cast("array<struct<license:string,containment:double>>")
-    rows = docs.select(F.col(key), F.col(text).alias("_text"))
-    if not own.all:
-        return rows.select(key, nothing.alias("matches"))
-    every = sorted({x for _, h, _ in own.all for x in h})
-    df = _shingles(rows, "_text").select(key, "_h")
-    df = df.withColumn("_m", F.when(F.arrays_overlap("_h", _longs(every)), _minima(F.col("_h"))))
-    found: list[Column] = []
-    top = max(own.level(len(h)) for _, h, _ in own.all)
-    for level in range(top + 1):
-        # Level 0: windows of one shingle.  Level k: three blocks of 2 ** (k - 1).
-        block, wide = (1, 1) if level == 0 else (2 ** (level - 1), 3)
-        if level > 1:
-            df = df.withColumn("_m", _doubled(F.col("_m")))
-        here = [(name, h, bands) for name, h, bands in own.all if own.level(len(h)) == level]
-        for name, h, bands in here:
-            windows = F.filter(F.sequence(F.lit(0), F.size(F.get("_m", F.lit(0))) - 1), _retrieved(bands, wide))
-            best = F.array_max(F.transform(windows, _contained(h, block, wide)))
-            column = f"_f{len(found)}"
-            df = df.withColumn(column, F.when(F.col("_m").isNotNull(), best))
-            found.append(F.when(F.col(column) >= CONTAINED, F.array(F.struct(F.lit(name).alias("license"), F.col(column).alias("containment")))).otherwise(nothing))
-    return df.select(key, reduce(lambda a, b: F.concat(a, b), found).alias("matches"))
+    templates = TEMPLATES if templates is None else templates
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    if not templates:
+        return rows.select(F.col("_key").alias(key), F.array().cast("array<struct<license:string,containment:double>>").alias("matches"))
+    signed = _signed(docs.sparkSession, templates)
+    index, small = _index(signed), len(templates) * BANDS <= index_rows and sum(len(t.split()) for t in templates.values()) <= TEMPLATE_WORDS
+    each = _shingles(rows, "_text").select(F.monotonically_increasing_id().alias("_row"), "_key", "_h")
+    # The last entry of a row is null: it meets no template and keeps the row.
+    each = each.select("_row", "_key", "_h", F.posexplode(F.concat("_h", F.array(F.lit(None).cast("bigint")))).alias("_at", "_shingle"))
+    if small:
+        met = each.join(F.broadcast(index), F.col("_shingle") == F.col("met"), "left")
+    else:  # the null entries are dealt out by row
+        own = each.withColumn("_on", F.coalesce("_shingle", F.xxhash64("_row"))).withColumn("_none", F.col("_shingle").isNull())
+        met = own.join(index, (F.col("_on") == F.col("met")) & (F.col("_none") == F.lit(False)), "left")
+    met = met.where(F.col("license").isNotNull() | F.col("_shingle").isNull())
+    starts = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda o: F.expr("_at div block") - o)
+    minimum = lambda k: F.array_min(F.transform(_window(k), lambda x: F.xxhash64(x, F.col("band"))))
+    # No filter on the windows: it would be merged with the one above and end the generated code there.
+    retrieved = met.withColumn("_windows", F.filter(starts, lambda k: (k >= 0) & (minimum(k) == F.col("minimum")))).select("_row", "_key", "_h", "_windows", "license", "n", "block", "wide")
+    exact = signed.select(F.col("license").alias("_license"), "shingles")
+    checked = retrieved.join(F.broadcast(exact) if small else exact, F.col("license") == F.col("_license"), "left")
+    share = F.array_max(F.transform("_windows", lambda k: F.size(F.array_intersect(_window(k), "shingles")))) / F.col("n")
+    checked = checked.select("_row", "_key", "license", share.alias("containment"))
+    found = F.when(F.col("containment") >= CONTAINED, F.struct("license", "containment"))
+    whole = checked.groupBy("_row", "_key").agg(F.collect_set(found).alias("found"))
+    best = lambda name: F.array_max(F.transform(F.filter("found", lambda m: m["license"] == name), lambda m: m["containment"]))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["license"])))
+    return whole.select(F.col("_key").alias(key), F.transform(names, lambda x: F.struct(x.alias("license"), best(x).alias("containment"))).alias("matches"))
 
 
 def _sql_text(value: str) -> str:

@@ -295,10 +295,20 @@ def test_licences_as_by_brute_force(spark, docs, nothing):
 
 
 def test_the_licence_plan_is_native(spark, docs):
-    plan = license_scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    plan = license_scan.scan(docs, {"a b": "c d", **license_scan.TEMPLATES})._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_many_long_templates(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    t = {f"T{i:03d}": " ".join(rng.choice(words, 500)) for i in range(300)}
+    texts = ["lead in words " + t["T007"] + " tail", " ".join(t["T123"].split()[:430]), " ".join(t["T200"].split()[:300]), "none at all"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [{r.doc_id: {m.license for m in r.matches} for r in license_scan.scan(df, t, index_rows=most).collect()} for most in (license_scan.INDEX_ROWS, 10)]
+    assert found[0] == found[1] == {0: {"T007"}, 1: {"T123"}, 2: set(), 3: set()}
+
+
 # 6
 
 
