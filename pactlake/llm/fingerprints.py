@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pactlake.llm._batches import SLICE_BYTES, bounded_batches, cut, slices
 
@@ -152,9 +153,12 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    full = pa.schema([*_OUT, ("role", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    ordered = rows.repartitionByRange(*order, "tie").sortWithinPartitions(*order, "text").drop("tie")  # equal rows part, too
+    kind = rows.schema["doc_id"].dataType
+    out = pa.schema([pa.field("doc_id", to_arrow_type(kind)), *list(_OUT)[1:]])
+    ddl = f"doc_id {kind.simpleString()}, " + _DDL.split(", ", 1)[1]
+    full = pa.schema([*out, ("role", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
@@ -176,10 +180,10 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             yield edge(2, held[0], held[1])
 
     # Narrow rows, and two texts for each task.
-    made = cut(ordered.mapInArrow(run, f"{_DDL}, role int, part int, text string"))
+    made = cut(ordered.mapInArrow(run, f"{ddl}, role int, part int, text string"))
     parts = sorted(r.part for r in made.where("role = 1").select("part").collect())  # one for each task
     if not parts:
-        return spark.createDataFrame([], _DDL)
+        return spark.createDataFrame([], ddl)
     following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next_part int")
     last = made.where("role = 2").select("doc_id", "part", "text").join(F.broadcast(following), "part")
     first = made.where("role = 1").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
@@ -190,6 +194,6 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             for s in slices(batch, "text"):
                 keys, texts, following = (c.to_pylist() for c in s.columns)
                 own, after = (digest([t.encode() for t in x]) for x in (texts, following))
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(_compare(keys, texts, own, following, after), _OUT, strict=True)], schema=_OUT)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(_compare(keys, texts, own, following, after), out, strict=True)], schema=out)
 
-    return made.where("role = 0").select(*_OUT.names).unionByName(ends.mapInArrow(finish, _DDL))
+    return made.where("role = 0").select(*_OUT.names).unionByName(ends.mapInArrow(finish, ddl))

@@ -200,8 +200,8 @@ def _shared(table: pa.Table) -> pa.Table:
         h, own, of = h[order], own[order], of[order]
         order = np.argsort(of, kind="stable")
         h, own, of, n = h[order], own[order], of[order], n[order]
-        ends = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-        for a, b in zip(ends, np.append(ends[1:], len(of)), strict=True):
+        ends = np.flatnonzero(np.concatenate([of[:1] == of[:1], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
             out.append((0, int(of[a]), 0, _blob(h[a:b], "<u8"), _blob(own[a:b], "<u2"), _blob(n[a:b], "<u4")))
     return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_ROW)], schema=_ROW)
 

@@ -52,8 +52,7 @@ def op8_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", packing.words().alias("n_tokens")))
+    return packing.pack(packing.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

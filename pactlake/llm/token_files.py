@@ -10,13 +10,15 @@ order.
 
 Defined results: ids are the library's without special tokens put around a text; an added token
 written out in a text is that token's id; a null or empty text holds the end id alone; an empty table writes no file
-and reads back as no rows; repeated rows stay, in order.  Writing is deterministic and ends
-with a rename, so a task that runs twice leaves the same file.
+and reads back as no rows; repeated rows stay, in order; keys may be of any type that has an order.
+What a task writes is deterministic, under names of that attempt; the manifest names the files of
+the attempts that counted and is written last, so files that it does not name are no result.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 import uuid
@@ -39,9 +41,10 @@ SEQUENCE, BATCH, MEMO = 2048, 64, 1_000_000
 class ByteBpe:
     """A tokenizers-library encoder that remembers what single words encode to.
 
-    A single space that a visible character follows always begins a pre-token of the
-    byte-level pattern, so texts are cut there; unknown parts are cut by the tokenizer's own
-    pre-tokeniser and encoded as pre-tokenised input.
+    A single space that a visible character follows always begins a pre-token of the byte-level
+    pattern, so texts are cut there; unknown parts are cut by that pattern and encoded by the
+    library's model.  A tokenizer file that has a normalizer, or cuts texts otherwise, is left
+    to the library altogether.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -56,6 +59,10 @@ class ByteBpe:
         #: Tokens that take spaces, mind word ends or go through the normalizer are left to the library.
         self.plain_added = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
         self.size = self.library.get_vocab_size()
+        spec = json.loads(self.library.to_str())
+        cuts, model = spec["pre_tokenizer"] or {}, spec["model"]
+        self.byte_level = spec["normalizer"] is None and cuts.get("type") == "ByteLevel" and not cuts.get("add_prefix_space") and cuts.get("use_regex", True)
+        self.byte_level &= model["type"] == "BPE" and not model.get("dropout") and not model.get("end_of_word_suffix") and not spec.get("truncation") and not spec.get("padding")
         self.memo, self.parts = TwoGenerationCache(memo), TwoGenerationCache(memo // 4)
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
@@ -79,6 +86,8 @@ class ByteBpe:
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         tail = array.array("I", [end]).tobytes()
+        if not self.byte_level:
+            return [array.array("I", e.ids).tobytes() + tail for e in self.library.encode_batch(texts, add_special_tokens=False)]
         holding = [i for i, t in enumerate(texts) if self.find_added.search(t)]
         if not holding:
             return [ids + tail for ids in self._plain(texts)]
@@ -206,10 +215,12 @@ class SequenceWriter:
 def write(docs: DataFrame, path: str, folder: str, *, end: int, key: str = "doc_id", text: str = "text", sequence: int = SEQUENCE, batch: int = BATCH) -> DataFrame:
     """Tokenises and writes all documents; returns the manifest: part, uri, n_docs, n_tokens.
 
-    The manifest is made by the run that writes, so it has been materialised already.
+    The manifest is made by the run that writes, so it has been materialised already; it is also
+    written to ``folder``/manifest.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"), "text")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order, "tie").sortWithinPartitions(*order, "text").drop("tie")  # equal rows part, too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
@@ -221,9 +232,8 @@ def write(docs: DataFrame, path: str, folder: str, *, end: int, key: str = "doc_
             for s in slices(b, "text"):
                 if out is None and s.num_rows:
                     fs.create_dir(root, recursive=True)
-                    name = f"{root}/part-{part:06d}"
-                    own = f"{name}.{uuid.uuid4().hex}"
-                    sink = fs.open_output_stream(f"{own}.tokens")
+                    own = f"part-{part:06d}-{uuid.uuid4().hex}"  # of this attempt
+                    sink = fs.open_output_stream(f"{root}/{own}.tokens")
                     out = SequenceWriter(sink, kind, sequence, batch)
                 for ids in bpe.encode(s.column("text").to_pylist(), end):
                     ids = np.frombuffer(ids, "<u4")
@@ -236,18 +246,17 @@ def write(docs: DataFrame, path: str, folder: str, *, end: int, key: str = "doc_
         sink.close()
         n = np.array(counts, np.int64)
         index = pa.table([pa.chunked_array(keys), pa.array(np.cumsum(n) - n), pa.array(n)], names=["key", "start", "n_tokens"])
-        with fs.open_output_stream(f"{own}.index") as f, pa.ipc.new_file(f, index.schema) as w:
+        with fs.open_output_stream(f"{root}/{own}.index") as f, pa.ipc.new_file(f, index.schema) as w:
             w.write_table(index)
-        for suffix in ("index", "tokens"):
-            fs.move(f"{own}.{suffix}", f"{name}.{suffix}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "uri": [f"{folder}/part-{part:06d}"], "n_docs": [len(n)], "n_tokens": [int(n.sum())]}, schema=MANIFEST)
+        yield pa.RecordBatch.from_pydict({"part": [part], "uri": [f"{folder}/{own}"], "n_docs": [len(n)], "n_tokens": [int(n.sum())]}, schema=MANIFEST)
 
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     schema = "part int, uri string, n_docs long, n_tokens long"
     # One row for each file: bounded by the number of partitions.
-    manifest = sorted(ordered.mapInArrow(run, schema).collect())
-    return spark.createDataFrame(manifest, schema)
+    manifest = spark.createDataFrame(sorted(ordered.mapInArrow(run, schema).collect()), schema)
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return manifest
 
 
 MANIFEST = pa.schema([("part", pa.int32()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -290,12 +299,12 @@ class TokenFile:
         return out[0] if len(out) == 1 else np.concatenate(out)
 
 
-def read(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Reads files back, a task for each: key, start, n_tokens, ids_crc32."""
+def read(manifest: DataFrame, key: str = "doc_id", kind: str = "long") -> DataFrame:
+    """Reads files back, a task for each: key (of type ``kind``), start, n_tokens, ids_crc32."""
     spark = manifest.sparkSession
     files = sorted(manifest.select("part", "uri", "n_tokens").collect())  # one row a file
     starts = [0, *accumulate(r.n_tokens for r in files)][: len(files)]
-    schema = f"`{key}` long, start long, n_tokens long, ids_crc32 long"
+    schema = f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long"
     if not files:
         return spark.createDataFrame([], schema)
     todo = spark.sparkContext.parallelize([(r.uri, s) for r, s in zip(files, starts, strict=True)], len(files)).toDF("uri string, start long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -420,9 +421,31 @@ def test_batches(spark, docs, nothing):
     for _, own in got.groupby("bucket"):
         room = max(1, 1000 // max(1, own.bucket_len.iloc[0]))
         assert own.batch_id.nunique() == -(-len(own) // room)  # only the last may be short
-    assert packing.pack(nothing.select("doc_id", packing.words().alias("n_tokens"))).count() == 0
-    counted = {r.doc_id: r.n for r in docs.select("doc_id", packing.words().alias("n")).collect()}
-    assert counted[0] == 0 and counted[3] == 2 and counted[13] == 3000
+    assert packing.pack(packing.tokenised(nothing, BYTES, ids=True), carry=("ids",)).count() == 0
+
+
+def test_padded_batches_hold_the_tokens(docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTES)
+    want = sorted(((r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()), key=str)
+    packed = packing.pack(packing.tokenised(docs.withColumn("_n", F.lit(1)), BYTES, ids=True), carry=("ids",), buckets=3, budget=400)
+    got = []
+    for r in packing.padded(packed).collect():
+        assert len(r["keys"]) == 1 or len(r["keys"]) * r.bucket_len <= 400
+        for k, tokens, mask in zip(r["keys"], r.tokens, r.masks, strict=True):
+            assert len(tokens) == len(mask) == r.bucket_len and not any(t for t, m in zip(tokens, mask, strict=True) if not m)
+            got.append((k, [t for t, m in zip(tokens, mask, strict=True) if m]))
+    assert sorted(got, key=str) == want
+
+
+def test_boundaries_of_long_lengths_are_exact():
+    rng = np.random.default_rng(4)
+    lengths = np.unique(rng.integers(1, 1 << 40, 60))
+    counts = rng.integers(1, 1000, len(lengths))
+    tops = packing.boundaries(lengths, counts, 3).tolist()
+    waste = lambda t: sum(int(c) * (min(x for x in t if x >= n) - int(n)) for n, c in zip(lengths.tolist(), counts.tolist(), strict=True))
+    assert waste(tops) == min(waste([a, b, int(lengths[-1])]) for a, b in combinations(lengths[:-1].tolist(), 2))
 
 
 # 8
@@ -496,10 +519,12 @@ def test_pivots_prune_clusters_and_lose_no_link(spark, block, most_cells):
 
 
 def test_token_files_read_back(spark, docs, nothing, tmp_path):
+    from tokenizers import Tokenizer
+
     folder = f"file://{tmp_path}/tokens"
     manifest = token_files.write(docs, BYTES, folder, end=2, sequence=64, batch=4)
     got = token_files.read(manifest).orderBy("start").collect()
-    library = token_files.encoder(BYTES).library
+    library = Tokenizer.from_file(BYTES)
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
     for r, (k, t) in zip(got, rows, strict=True):
@@ -513,11 +538,35 @@ def test_token_files_read_back(spark, docs, nothing, tmp_path):
     assert token_files.read(token_files.write(nothing, BYTES, f"{folder}-none", end=2)).count() == 0
 
 
+@functools.cache
+def fresh_library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BYTES)
+
+
+def test_other_tokenizers_and_other_keys(spark, tmp_path):
+    spec = json.loads(open(BYTES).read())
+    spec["normalizer"] = {"type": "Lowercase"}
+    path = f"{tmp_path}/lower.json"
+    with open(path, "w") as f:
+        json.dump(spec, f)
+    texts = ["Some TEXT <|endoftext|> here", "", None, "Ünï  x"]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    got = token_files.read(token_files.write(df, path, f"file://{tmp_path}/t", end=2), kind="string").orderBy("doc_id").collect()
+    library = token_files.ByteBpe(path).library
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(f"k{i}", len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want)]
+    assert spark.read.parquet(f"file://{tmp_path}/t/manifest").agg(F.sum("n_docs")).first()[0] == len(texts)
+    assert sorted(r.doc_id for r in fingerprints.with_next(df).collect()) == ["k0", "k1", "k2", "k3"]
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df.union(spark.createDataFrame([("a", texts[0])], df.schema))).collect()}["k0"] == "a"
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=40))
 def test_any_text_tokenizes_as_the_library(text):
     e = token_files.encoder(BYTES)
-    assert e.encode([text], 2) == [np.array([*e.library.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()]
+    assert e.encode([text], 2) == [np.array([*fresh_library().encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes()]
 
 
 @settings(max_examples=150, deadline=None)

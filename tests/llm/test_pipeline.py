@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
 from pactlake.llm import jaccard_join, language_id, packing, toxicity
 
@@ -37,7 +38,7 @@ def test_run_equals_its_stages(spark, folder):
     left = left.where(left.doc_id.isin([k for k, x in langs.items() if x != "und"]))
     kept = [r.doc_id for r in jaccard_join.jaccard_join(left).collect() if r.doc_id == r.component_id]
     left = left.where(left.doc_id.isin(kept))
-    want = sorted(map(tuple, packing.pack(left.select("doc_id", packing.words().alias("n_tokens"))).collect()))
+    want = sorted(map(tuple, packing.pack(packing.tokenised(left, public_tokenizers.path("byte_bpe_50k.json"), ids=True), carry=("ids",)).collect()))
     got = sorted(map(tuple, corpus_pipeline.run(spark, folder).collect()))
     assert got == want and 0 < len(got) < docs.count()
     assert not {1000, 1001, 1002} & {r[0] for r in got}
