@@ -1,17 +1,19 @@
 """A corpus pipeline of four stages over ``documents``; each stage rereads what the last one wrote.
 
 Toxicity drops what its model rejects, language identification what has no language to tell, the
-Jaccard join all but one of each group of near-duplicates; packing gives the rest their batches.
+Jaccard join all but one of each group of near-duplicates; packing tokenises the rest and gives them their
+batches, which ``packing.padded`` puts together.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pactlake.llm import jaccard_join, language_id, packing, toxicity
-from pactlake.llm._batches import shared_dir
+from pactlake.llm._batches import remove, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select("doc_id", packing.words().alias("n_tokens")))
+    """Token ids of each document, its bucket and batch."""
+    return packing.pack(packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True), carry=("ids",))
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", drop_unknown_language), ("jaccard_join", drop_near_duplicates), ("packing", pack_batches)]
@@ -38,10 +41,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of ``sf_dir``."""
+    """Applies the stages to the documents of ``sf_dir``; a stage's table goes when the next is written."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
