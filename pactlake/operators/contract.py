@@ -1,8 +1,11 @@
 """Contracts over DataFrames: flags, errors, lists, quarantine, defaults, reports.
 
-A contract is compiled once on the driver.  If all of it has a column form it runs natively;
-otherwise an Arrow UDF carries the JSON text of each row to the general evaluator.  No operator
-here shuffles but ``report``; all of them work on streaming DataFrames in append mode.
+A contract is compiled once on the driver.  If all of it has a column form, it decides natively;
+otherwise an Arrow UDF carries the JSON text of each row to closures made from the plan.  Either
+way the errors are those of the evaluator: as columns where a plan's outcome has a fixed shape,
+else by the evaluator on the rows that are invalid and on no others.  JSON numbers that a VARIANT
+cannot keep are decided by it too, row by row.  No operator here shuffles but ``report``; all of
+them work on streaming DataFrames in append mode.
 """
 
 from __future__ import annotations
@@ -18,8 +21,10 @@ from pyspark.sql import types as T
 from pactlake.functions import numbers
 from pactlake.operators import defaults
 from pactlake.operators.evaluate import bind, evaluate, evaluate_json
+from pactlake.operators.flags import json_flag
 from pactlake.operators.native import Native, NotNative, Value, column
 from pactlake.operators.results import MESSAGES, Outcome, Translator
+from pactlake.operators.told import listed
 from pactlake.plans.catalog import Catalog
 from pactlake.plans.schema import Schema
 
@@ -55,7 +60,7 @@ class Contract:
         kind = df.schema[name].dataType
         col = F.col(f"`{name}`")
         if isinstance(kind, (T.StringType, T.BinaryType)):
-            text = col if isinstance(kind, T.StringType) else F.decode(col, "UTF-8")
+            text = col if isinstance(kind, T.StringType) else F.try_validate_utf8(col.cast("string"))
             parsed = F.try_parse_json(text)
             return Value(parsed, T.VariantType()), parsed.isNotNull() & _one_value(text)
         return Value(col, kind), None
@@ -65,15 +70,17 @@ class Contract:
 
     def tier_for(self, df: DataFrame, name: str | None = None) -> str:
         """The tier that will run, and why the native one cannot, if it cannot."""
-        if self.tier == "general":
-            return "general"
         try:
-            self._native().errors(self.node, self._value(df, name)[0])
+            if self.tier == "general":
+                raise NotNative("as asked for")
+            self._native().checks(self.node, self._value(df, name)[0])
             return "native"
         except NotNative as e:
+            if self.struct_mode:
+                raise NotNative(f"struct mode has a native form only: {e}") from None
             if self.tier == "native":
                 raise
-            return f"general: {e}"
+            return "general" if self.tier == "general" else f"general: {e}"
 
     def _flat(self, df: DataFrame, name: str | None) -> tuple[Value, Column | None]:
         v, parses = self._value(df, name)
@@ -83,37 +90,53 @@ class Contract:
 
     def is_valid(self, df: DataFrame, name: str | None = None) -> Column:
         """A boolean column; NULL values of a named column are invalid JSON or JSON null as typed."""
-        if self.tier_for(df, name) == "native":
-            v, parses = self._flat(df, name)
-            ok = column(self._native().holds(self.node, v))
-            if parses is not None:
-                return F.coalesce(parses & ok, F.lit(False))
-            if name is None:
-                return ok
-            return F.when(F.col(f"`{name}`").isNull(), F.lit(evaluate(self.node, None).valid)).otherwise(ok)
-        return _flag_udf(self.node)(self._text(df, name))
+        if self.tier_for(df, name) != "native":
+            return _flag_udf(self.node)(self._text(df, name))
+        v, parses = self._flat(df, name)
+        ok = column(self._native().holds(self.node, v))
+        if parses is not None:
+            ok = F.coalesce(parses & ok, F.lit(False))
+        elif name is not None:
+            ok = F.when(F.col(f"`{name}`").isNull(), F.lit(evaluate(self.node, None).valid)).otherwise(ok)
+        if v.variant and _weighs_numbers(self.node) and not self.struct_mode:
+            text = self._text(df, name)
+            long = F.coalesce(text.rlike(_LONG_NUMBER), F.lit(False))
+            return F.when(long, _flag_udf(self.node)(F.when(long, text))).otherwise(ok)
+        return ok
 
     def errors(self, df: DataFrame, name: str | None = None) -> Column:
-        """An array of (path, keyword, code, message)."""
-        if self.tier_for(df, name) == "native":
-            v, parses = self._flat(df, name)
+        """An array of (path, keyword, code, message): of several errors of a keyword at one place, the last."""
+        return self._checked(df, name)[1]
+
+    def _checked(self, df: DataFrame, name: str | None) -> tuple[Column | None, Column]:
+        """Validity, unless it is to be told from the errors, and the errors."""
+        if self.tier_for(df, name) != "native":
+            return None, _errors_udf(self.node, self.translate)(F.coalesce(self._text(df, name), F.lit("")))
+        v, parses = self._flat(df, name)
+        ok = self.is_valid(df, name)
+        try:
+            if self.translate is not None or parses is not None or name is not None:
+                raise NotNative("errors that need the outcome tree")
+            found = listed(self._native(), self.node, v)
+        except NotNative:
+            if not self.struct_mode:  # NULL for rows that need no explanation
+                invalid = ~F.coalesce(ok, F.lit(False))
+                return ok, _errors_udf(self.node, self.translate)(F.when(invalid, F.coalesce(self._text(df, name), F.lit(""))))
             found = [_error_column(p, k, c, check, self.translate) for p, k, c, check in self._native().errors(self.node, v) if check is not True]
-            own = F.array_compact(F.array(*found)).cast(ERRORS) if found else F.array().cast(ERRORS)
-            if parses is not None:
-                return F.when(F.coalesce(parses, F.lit(False)), own).otherwise(F.array(_error_struct("", "format", "invalid_json", self.translate)))
-            return own
-        return _errors_udf(self.node, self.translate)(self._text(df, name))
+        return ok, F.array_compact(F.array(*found)).cast(ERRORS) if found else F.array().cast(ERRORS)
 
     def _text(self, df: DataFrame, name: str | None) -> Column:
         """The JSON text that the general evaluator reads."""
         options = _TIME_TEXT | {"ignoreNullFields": str(self.null_means == "absent").lower()}
         if name is None:
-            return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), options)
+            seen = _names_seen(self.node)
+            own = [F.col(f"`{c}`") for c in df.columns if seen is None or c in seen]
+            return F.to_json(F.struct(*own), options) if own else F.lit("{}")
         kind = df.schema[name].dataType
         if isinstance(kind, T.StringType):
             return F.col(f"`{name}`")
         if isinstance(kind, T.BinaryType):
-            return F.decode(F.col(f"`{name}`"), "UTF-8")
+            return F.try_validate_utf8(F.col(f"`{name}`").cast("string"))  # NULL, and so no JSON, if malformed
         if isinstance(kind, (T.StructType, T.MapType, T.ArrayType, T.VariantType)):
             return F.coalesce(F.to_json(F.col(f"`{name}`"), options), F.lit("null"))
         wrapped = F.to_json(F.struct(F.col(f"`{name}`").alias("v")), _TIME_TEXT | {"ignoreNullFields": "false"})
@@ -128,9 +151,10 @@ class Contract:
                 raise ValueError(f"the rows already have a column {c}; give a prefix")
         if not with_errors:
             return df.withColumn(f"{prefix}valid", self.is_valid(df, name))
-        if self.tier_for(df, name) == "native":
-            return df.withColumns({f"{prefix}valid": self.is_valid(df, name), f"{prefix}errors": self.errors(df, name)})
-        made = df.withColumn(f"{prefix}errors", self.errors(df, name))  # one pass of the evaluator gives both
+        ok, found = self._checked(df, name)
+        if ok is not None:
+            return df.withColumns({f"{prefix}valid": ok, f"{prefix}errors": found})
+        made = df.withColumn(f"{prefix}errors", found)  # one pass of the evaluator gives both
         return made.withColumn(f"{prefix}valid", F.size(f"{prefix}errors") == 0).select(*df.columns, f"{prefix}valid", f"{prefix}errors")
 
     def filter(self, df: DataFrame, name: str | None = None) -> DataFrame:
@@ -156,7 +180,10 @@ class Contract:
 
     def detailed_errors(self, df: DataFrame, name: str | None = None) -> Column:
         """Messages by location and keyword, as a map."""
-        return F.map_from_entries(F.array_distinct(F.transform(self.errors(df, name), lambda e: F.struct(F.concat(e["path"], F.lit("/"), e["keyword"]), e["message"]))))
+        pairs = F.transform(self.errors(df, name), lambda e: F.struct(F.concat(e["path"], F.lit("/"), e["keyword"]).alias("k"), e["message"].alias("m")))
+        # Of pairs with one key the last stays, at the first one's place.
+        step = lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.map_from_entries(F.array(p)))
+        return F.aggregate(pairs, F.create_map().cast("map<string,string>"), step)
 
     def with_defaults(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """Fills defaults: in JSON text by the general evaluator, in typed columns natively."""
@@ -214,26 +241,73 @@ def _error_column(path: str, keyword: str, code: str | tuple[str, str, Column],
     return F.when(~F.coalesce(column(check), F.lit(False)), _error_struct(path, keyword, code, translate))
 
 
-def _outcomes(node: Schema, texts: pd.Series) -> Iterator[Outcome]:
-    for t in texts:
-        yield evaluate_json(node, "" if t is None else t)  # NULL is no JSON text
+#: Numbers of JSON text that a VARIANT may round: with an exponent, or with many digits.
+_LONG_NUMBER = r"(^|[:\[,\s])-?[0-9]+(\.[0-9]+)?[eE]|[0-9]{26,}|\.[0-9]{13,}"
+_WEIGHING = ("type", "enum", "const", "uniqueItems", "multipleOf", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum")
+
+
+def _reached(node: Schema) -> Iterator[Schema]:
+    """Every node that a plan can reach."""
+    todo, done = [node], set()
+    while todo:
+        s = todo.pop()
+        if id(s) in done:
+            continue
+        done.add(id(s))
+        yield s
+        todo += [c for _, c in s.children()]
+        todo += [t for k in ("$ref", "$dynamicRef", "$recursiveRef") if isinstance(s.get(k), str) and (t := s.target(k)) is not None]
+
+
+def _weighs_numbers(node: Schema) -> bool:
+    return any(k in s for s in _reached(node) for k in _WEIGHING)
+
+
+def _names_seen(node: Schema, active: tuple[int, ...] = ()) -> set[str] | None:
+    """The properties of the outermost object that a plan can look at; None for all."""
+    if node.boolean is not None or id(node) in active:
+        return set()
+    if any(k in node for k in ("additionalProperties", "patternProperties", "propertyNames", "minProperties", "maxProperties", "unevaluatedProperties", "enum", "const", "$dynamicRef", "$recursiveRef")):
+        return None
+    active = (*active, id(node))
+    need = node.get("dependentRequired") if isinstance(node.get("dependentRequired"), dict) else {}
+    out = {*node.get("properties", {}), *(node.get("required") if isinstance(node.get("required"), list) else []), *need, *(x for xs in need.values() for x in xs), *node.get("dependentSchemas", {})}
+    inner = [node.target("$ref")] if isinstance(node.get("$ref"), str) else []
+    inner += [s for k in ("allOf", "anyOf", "oneOf") for s in node.get(k) or ()]
+    inner += [node.get(k) for k in ("not", "if", "then", "else") if k in node] + list(node.get("dependentSchemas", {}).values())
+    for s in inner:
+        if s is not None:
+            if (seen := _names_seen(s, active)) is None:
+                return None
+            out |= seen
+    return out
 
 
 def _flag_udf(node: Schema):
+    held: list = []  # made in the worker
+
     @F.pandas_udf("boolean")
     def flags(texts: pd.Series) -> pd.Series:
-        return pd.Series([o.valid for o in _outcomes(node, texts)], dtype="bool")
+        if not held:
+            held.append(json_flag(node))
+        return pd.Series([held[0](t) for t in texts], dtype="bool")
 
     return flags
 
 
 def _errors_udf(node: Schema, translate: Translator | None):
+    """NULL text has no errors; valid text is known by the closures and not evaluated further."""
+    held: list = []
+
     @F.arrow_udf(ERRORS)
     def found(texts):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("path", "keyword", "code", "message")]))
-        return pa.array([[{"path": at, "keyword": e.keyword, "code": e.code, "message": e.message(translate)} for at, e in o.flat()] if not o.valid else [] for o in _outcomes(node, texts.to_pylist())], kind)
+        if not held:
+            held.append(json_flag(node))
+        flag, kind = held[0], pa.list_(pa.struct([(n, pa.string()) for n in ("path", "keyword", "code", "message")]))
+        told = lambda t: [{"path": at, "keyword": e.keyword, "code": e.code, "message": e.message(translate)} for at, e in evaluate_json(node, t).flat()]
+        return pa.array([[] if t is None or flag(t) else told(t) for t in texts.to_pylist()], kind)
 
     return found
 
@@ -241,7 +315,7 @@ def _errors_udf(node: Schema, translate: Translator | None):
 def _list_udf(node: Schema, hierarchy: bool, translate: Translator | None):
     @F.pandas_udf("string")
     def lists(texts: pd.Series) -> pd.Series:
-        return pd.Series([numbers.dumps(o.to_list(hierarchy, translate)) for o in _outcomes(node, texts)], dtype="object")
+        return pd.Series([numbers.dumps(evaluate_json(node, "" if t is None else t).to_list(hierarchy, translate)) for t in texts], dtype="object")
 
     return lists
 
@@ -254,18 +328,36 @@ def _fill_udf(node: Schema):
     return filled
 
 
-def _default_of(s: Schema) -> Any:
-    for branch in s.get("anyOf", []):
+def _default_of(s: Schema, kind: T.DataType | None = None) -> Any:
+    """A constant, or a Column that calls a default function for each row."""
+    for branch in (*s.get("anyOf", []), s):
         if (d := defaults.resolve_default(branch)) is not None:
-            return defaults.evaluate_default(branch, d)
-    d = defaults.resolve_default(s)
-    return None if d is None else defaults.evaluate_default(s, d)
+            called = defaults.call_of(branch, d)
+            if called is None:
+                return d
+            made = defaults.evaluate_default(branch, d)
+            return made if isinstance(made, Column) else _called(called, made, kind)
+    return None
+
+
+def _called(make: Any, example: Any, kind: T.DataType | None) -> Column:
+    """Calls a Python function for each row; its type is the field's, else that of one result."""
+    kind = kind or (T.BooleanType() if isinstance(example, bool) else T.LongType() if isinstance(example, int) else T.DoubleType() if isinstance(example, float) else T.StringType())
+    simple = isinstance(kind, (T.StringType, T.BooleanType, T.LongType, T.DoubleType))
+
+    @F.udf(kind if simple else T.StringType())
+    def value(_: Any) -> Any:
+        made = make()
+        return made if made is None or isinstance(made, (bool, int, float)) and not isinstance(kind, T.StringType) else str(made)
+
+    called = value.asNondeterministic()(F.lit(0))
+    return called if simple else called.try_cast(kind)
 
 
 def _literal(value: Any, kind: T.DataType | None) -> Column:
     """A default as a literal; a Column (from a default function) as it is."""
     if isinstance(value, Column):
-        return value if kind is None else value.cast(kind)
+        return value if kind is None else value.try_cast(kind)
     if isinstance(value, (dict, list)):
         text = F.lit(numbers.dumps(value))
         return F.from_json(text, kind) if kind is not None else F.parse_json(text)
@@ -273,7 +365,7 @@ def _literal(value: Any, kind: T.DataType | None) -> Column:
 
 
 def _fill_property(s: Schema, col: Column, kind: T.DataType) -> Column:
-    value = _default_of(s)
+    value = _default_of(s, kind)
     if value is not None:
         col = F.coalesce(col, _literal(value, kind))
     return _fill_column(s, col, kind)

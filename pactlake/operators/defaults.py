@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 import re
+from collections.abc import Callable
 from typing import Any
 
 from pactlake.plans.schema import Schema
@@ -36,14 +37,23 @@ def resolve_default(node: Schema) -> Any:
 
 def evaluate_default(node: Schema, value: Any) -> Any:
     """A text ``name(args)`` calls the registered function; unknown or failing ones stay text."""
-    if isinstance(value, str) and (m := _CALL.fullmatch(value.strip())):
-        make = node.catalog.default_functions.get(m[1])
-        if make is not None:
-            try:
-                return make(*[a.strip() for a in m[2].split(",") if a.strip()])
-            except Exception:  # a default function is foreign code
-                return value
-    return value
+    call = call_of(node, value)
+    return value if call is None else call()
+
+
+def call_of(node: Schema, value: Any) -> Callable[[], Any] | None:
+    """What a text ``name(args)`` calls, if such a function is registered; a failing call gives the text."""
+    if not isinstance(value, str) or not (m := _CALL.fullmatch(value.strip())) or m[1] not in node.catalog.default_functions:
+        return None
+    make, args = node.catalog.default_functions[m[1]], [a.strip() for a in m[2].split(",") if a.strip()]
+
+    def call() -> Any:
+        try:
+            return make(*args)
+        except Exception:  # a default function is foreign code
+            return value
+
+    return call
 
 
 def fill(node: Schema, value: Any, depth: int = 0, trail: tuple[int, ...] = ()) -> Any:

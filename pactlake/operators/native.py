@@ -22,7 +22,7 @@ from pactlake.functions import formats, numbers, patterns
 from pactlake.operators.evaluate import evaluate
 from pactlake.plans.schema import Schema, limit, type_names
 
-#: Keyword checks in one plan at most; larger plans go to the general evaluator.
+#: Keyword checks in one expression at most; larger plans are evaluated generally, with the same results.
 MOST_CHECKS = 400
 _ANY_BRANCH = ("$ref", "allOf", "anyOf", "oneOf", "if", "dependentSchemas", "unevaluatedProperties", "unevaluatedItems", "contains")
 Check = Column | bool
@@ -230,12 +230,11 @@ class Native:
 
     def _compare(self, v: Value, bound: Any, how: Callable[[Column, Any], Column]) -> Check:
         bound = numbers.exact(bound)
-        if isinstance(v.kind, T.DoubleType):
+        if isinstance(v.kind, (T.DoubleType, T.FloatType)):
             if Decimal(repr(float(bound))) != bound:
                 raise NotNative("a limit that is no double")
-            return how(v.col, F.lit(float(bound)))
-        if isinstance(v.kind, T.FloatType):
-            return how(v.col.cast("string").cast("decimal(38,12)"), F.lit(Decimal(bound)))
+            # Shortest texts of doubles keep their order; a float is its shortest text.
+            return how(v.col.cast("string").cast("double") if isinstance(v.kind, T.FloatType) else v.col, F.lit(float(bound)))
         if abs(bound) >= 10**25 or isinstance(bound, Decimal) and -bound.as_tuple().exponent > 12:
             raise NotNative("a limit beyond 38 digits")
         if isinstance(bound, int) and -(2**63) <= bound < 2**63 and not v.variant:
@@ -252,12 +251,18 @@ class Native:
             elif v.type_name == "integer" and not v.variant and isinstance(d, int):
                 out.append(("multipleOf", "not_multiple_of", v.col % F.lit(d) == 0))
             else:
-                scale = max(10, -d.as_tuple().exponent if isinstance(d, Decimal) else 0)
-                if scale > 18:
+                scale = max(12 if v.variant else 10, -d.as_tuple().exponent if isinstance(d, Decimal) else 0)
+                if scale > (12 if v.variant else 18) or abs(d) >= 10**18:
                     raise NotNative("a divisor with many digits")
                 kind = f"decimal(38,{scale})"
-                n = v.number().cast(kind) if v.variant else v.col.cast("string").cast(kind)
-                out.append(("multipleOf", "not_multiple_of", n % F.lit(Decimal(d)).cast(kind) == 0))
+                n = v.number() if v.variant else v.col.cast("string").try_cast(kind)
+                whole: Check = n % F.lit(Decimal(d)).cast(kind) == 0
+                if isinstance(v.kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+                    # What is rounded has more decimals than the divisor; what is too large is told by its text.
+                    own = v.col.cast("string")
+                    wide = F.when(n.isNull(), _large_multiple(own, d)).otherwise(F.lit(False))
+                    whole = F.coalesce((n == v.col if isinstance(v.kind, T.DecimalType) else n.cast(v.kind) == v.col) & whole, wide)
+                out.append(("multipleOf", "not_multiple_of", whole))
         for k, code, how in (
             ("minimum", "value_below_minimum", lambda a, b: a >= b),
             ("maximum", "value_above_maximum", lambda a, b: a <= b),
@@ -319,8 +324,8 @@ class Native:
         if node.get("anyOf"):
             out.append(("anyOf", "any_of_item_mismatch", any_of([self.holds(s, v) for s in node.get("anyOf")])))
         if node.get("oneOf"):
-            good = reduce(lambda a, b: a + b, [column(self.holds(s, v)).cast("int") for s in node.get("oneOf")])
-            out.append(("oneOf", "one_of_item_mismatch", good == 1))
+            good = reduce(lambda a, b: a + b, [F.coalesce(column(self.holds(s, v)), F.lit(False)).cast("int") for s in node.get("oneOf")])
+            out.append(("oneOf", ("one_of_item_mismatch", "one_of_multiple_matches", good > 1), good == 1))
         if "not" in node:
             out.append(("not", "not_schema_mismatch", negate(self.holds(node.get("not"), v))))
         if "if" in node:
@@ -347,7 +352,7 @@ class Native:
         prefix = node.get("prefixItems", [])
         if prefix:
             one = [unless(F.size(arr) <= i, self.element(s, kind)(F.get(arr, F.lit(i)))) for i, s in enumerate(prefix) if s.boolean is not True]
-            out.append(("prefixItems", "prefix_item_mismatch", all_of(one)))
+            out.append(("prefixItems", several("prefix_item_mismatch", "prefix_items_mismatch", one), all_of(one)))
         if "items" in node and node.get("items").boolean is not True:
             rest = F.slice(arr, len(prefix) + 1, F.greatest(F.size(arr) - len(prefix), F.lit(0))) if prefix else arr
             s = node.get("items")
@@ -516,6 +521,24 @@ class Native:
         return out
 
 
+def _large_multiple(text: Column, divisor: int | Decimal) -> Column:
+    """Whether a number of 20 digits or more, given as mantissa and exponent, is a multiple.
+
+    Its value is the mantissa's digits times a power of ten; powers modulo the scaled divisor are
+    tabulated up to the largest double.
+    """
+    d = Decimal(divisor)
+    shift = max(0, -d.as_tuple().exponent)
+    m = int(d.scaleb(shift))
+    digits = F.regexp_replace(F.split_part(F.regexp_replace(text, "^-", ""), F.lit("E"), F.lit(1)), r"\.|0+$", "")
+    power = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int") - F.char_length(digits) + 1 + shift
+    if m > 10**15:
+        raise NotNative("a divisor with many digits")
+    powers = F.array(*[F.lit(pow(10, k, m)).cast("decimal(19,0)") for k in range(330)])
+    rest = F.pmod(digits.try_cast("decimal(18,0)"), F.lit(Decimal(m)).cast("decimal(18,0)")).cast("decimal(19,0)")
+    return F.coalesce((power >= 0) & (F.pmod((rest * F.get(powers, power)).cast("decimal(38,0)"), F.lit(Decimal(m)).cast("decimal(38,0)")) == 0), F.lit(False))
+
+
 def _like(p: str) -> Callable[[Column], Column]:
     return lambda k: k.rlike(p)
 

@@ -233,13 +233,84 @@ def test_tiers_agree_on_typed_rows(spark):
     at = datetime.datetime(2024, 5, 6, 7, 8, 9)
     rows = [(1, "x", [1, 2], 0.5, (1, "p"), {"k": 3}, at, True, Decimal("1.50")), (None, "", [3, 3], 2.0, (None, "q"), {}, None, None, None), (5, None, None, 3.1, None, {"k": 9, "l": 1}, at, False, Decimal("2.25")), (None,) * 9, (2, "yy", [4, None], None, (2, None), None, at, True, Decimal("9.00"))]
     df = spark.createDataFrame(rows, TYPED)
-    for schema in TYPED_CONTRACTS:
-        a, b = ([r.valid for r in Contract(schema, tier=t).validate(df).collect()] for t in ("native", "general"))
-        assert a == b, schema
-        if "anyOf" in schema:
-            continue  # the general tier also lists what failed inside the branches
-        x, y = ([sorted((e.path, e.keyword, e.code) for e in r.errors if e.path.count("/") < 2) for r in Contract(schema, tier=t).validate(df).collect()] for t in ("native", "general"))
-        assert [{c for _, _, c in r if "prop" in c or "required" in c} for r in x] == [{c for _, _, c in r if "prop" in c or "required" in c} for r in y], schema
+    more = [{"properties": {"d": {"minimum": 2.5, "maximum": 3, "exclusiveMinimum": 0.5}, "u": {"multipleOf": 2, "maximum": 2}, "a": {"enum": [1, 7], "exclusiveMaximum": 2}}}, {"properties": {"a": {"type": "string"}, "d": {"type": "integer"}, "b": {"type": ["integer", "null"], "enum": ["x", 'q"'], "maxLength": 0, "pattern": "^z"}}, "required": ["a", "c", "zz"], "minProperties": 9, "maxProperties": 2}, {"oneOf": [{"required": ["a"]}, {"required": ["t"]}]}, {"properties": {"e": {"properties": {"x": {"minimum": 2}, "y": {"type": "string", "minLength": 5}}, "required": ["x", "y"]}, "c": {"minItems": 3, "type": "array"}}, "required": ["e", "d"]}]
+    for schema in TYPED_CONTRACTS + more:
+        x, y = ([(r.valid, [tuple(e) for e in r.errors]) for r in Contract(schema, tier=t).validate(df).collect()] for t in ("native", "general"))
+        assert x == y, schema
+
+
+def test_numbers_in_messages_are_plain(spark):
+    from pactlake.operators.told import plain
+
+    texts = ["0.0", "-0.0", "1.0", "-12.50", "1.0E10", "1.2345678912E8", "1.23456789E-5", "-9.999999999999999E22", "1.7976931348623157E308", "4.9E-324", "100", "-7", "0.001", "120.00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(plain(F.col("t"))).collect()] == [numbers.number_text(Decimal(t)) for t in texts]
+
+
+BIG = ["-1e-13", "1e-13", "1e30", "1e300", "1" * 41, "-0.0000000000001", "5", "1e400", "12345678901234567890123456.5", "0.1e1", '"1e5"', "[1e2, 100]", "[1e-13, 0]", "2.0", "1.00000000000000000000000000000000000000001"]
+
+
+def test_numbers_that_a_variant_rounds(spark):
+    df = spark.createDataFrame(list(enumerate(BIG)), "i int, s string")
+    for schema in ({"minimum": 0}, {"type": "integer"}, {"maximum": 10**25 - 1}, {"multipleOf": 0.5}, {"const": 1}, {"enum": [0, 10**13, 1]}, {"items": {"type": "integer"}}, {"exclusiveMaximum": 1}):
+        contract = Contract(schema)
+        assert contract.tier_for(df, "s") == "native"
+        got = {r.i: (r.valid, [tuple(e) for e in r.errors]) for r in contract.validate(df, "s").collect()}
+        for i, t in enumerate(BIG):
+            want = contract.evaluate(t.encode())
+            assert got[i] == (want.valid, [(p, e.keyword, e.code, e.message()) for p, e in want.flat()]), (schema, t)
+    typed = spark.createDataFrame([(1e-13, 1e300), (1e30, 0.1), (2.5, 1e22)], "x double, y double")
+    for schema in ({"properties": {"x": {"multipleOf": 0.5}, "y": {"multipleOf": 4}}}, {"properties": {"x": {"type": "integer"}, "y": {"multipleOf": 0.3}}}, {"properties": {"y": {"multipleOf": 7}}}):
+        assert [r.valid for r in Contract(schema, tier="native").validate(typed).collect()] == [r.valid for r in Contract(schema, tier="general").validate(typed).collect()], schema
+
+
+def test_bytes_details_and_long_plans(spark):
+    df = spark.createDataFrame([(1, b'{"a": 1}'), (2, b"\xff{"), (3, None), (4, b"[1, 2")], "i int, b binary")
+    for tier in ("native", "general"):
+        got = {r.i: (r.valid, [e.code for e in r.errors]) for r in Contract({"required": ["a"]}, tier=tier).validate(df, "b").collect()}
+        assert got == {1: (True, []), 2: (False, ["invalid_json"]), 3: (False, ["invalid_json"]), 4: (False, ["invalid_json"])}
+    rows = spark.createDataFrame([('{"a": 1, "x1": "s", "b": [1]}',)], "s string")
+    schema = {"properties": {"a": {"type": "string"}, "b": {"items": {"type": "string"}}}, "patternProperties": {"^x": {"type": "number"}}}
+    for tier in ("native", "general"):
+        contract = Contract(schema, tier=tier)
+        assert rows.select(contract.detailed_errors(rows, "s").alias("m")).first().m == contract.evaluate(b'{"a": 1, "x1": "s", "b": [1]}').detailed_errors()
+    wide = spark.createDataFrame([(1, 2.0), (-1, 0.5)], "a long, d double")
+    many = {"properties": {"a": {"minimum": 0, "allOf": [{"minimum": -k} for k in range(500)]}, "d": {"minimum": 1}}}
+    few = {"properties": {"a": {"minimum": 0, "allOf": [{"minimum": -k} for k in range(3)]}, "d": {"minimum": 1}}}
+    lists = [[[tuple(e)[:3] for e in r.errors if "allOf" not in e.path] for r in Contract(s).validate(wide).collect()] for s in (many, few)]
+    assert Contract(many).tier_for(wide).startswith("general") and Contract(few).tier_for(wide) == "native"
+    assert [[(p, c) for p, _, c in r if p.count("/") < 2 and "all_of" not in c and p != "/a"] for r in lists[0]] == [[(p, c) for p, _, c in r if p.count("/") < 2 and "all_of" not in c and p != "/a"] for r in lists[1]]
+
+
+def test_struct_mode_has_no_general_form(spark):
+    df = spark.createDataFrame([("", 1)], "s string, n long")
+    with pytest.raises(NotNative):
+        Contract({"required": ["s"]}, struct_mode=True, tier="general").validate(df)
+    with pytest.raises(NotNative):
+        Contract({"const": {"s": ""}}, struct_mode=True).validate(df)
+    errors = Contract({"required": ["s", "n", "q"], "properties": {"n": {"minimum": 5}}}, struct_mode=True).validate(df).first().errors
+    assert [(e.path, e.code, e.message) for e in errors] == [("", "property_mismatch", "Property n does not match the schema"), ("", "required_missing", "Required properties s, q are missing"), ("/n", "value_below_minimum", "1 should be at least 5")]
+
+
+def test_default_functions_run_for_each_row(spark):
+    import uuid
+
+    own = Catalog()
+    own.register_default_function("uuid", lambda: str(uuid.uuid4()))
+    own.register_default_function("stamp", lambda: F.current_timestamp())
+    own.register_default_function("broken", lambda: 1 / 0)
+    schema = own.compile({"properties": {"u": {"default": "uuid()"}, "t": {"default": "stamp()"}, "b": {"default": "broken()"}, "k": {"default": "unknown()"}}})
+    df = spark.createDataFrame([(None, None)] * 5, "u string, k string")
+    got = Contract(schema).with_defaults(df).collect()
+    assert len({r.u for r in got}) == 5 and {r.k for r in got} == {"unknown()"} and {r.b for r in got} == {"broken()"} and all(r.t is not None for r in got)
+
+
+def test_only_columns_that_a_plan_sees_are_read(spark, tmp_path):
+    spark.range(10).selectExpr("id", "id * 2 as x", "cast(id as string) as unused").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    flag = Contract({"allOf": [{"properties": {"x": {"minimum": 4}}}], "required": ["id"]}, tier="general").is_valid(df)
+    plan = df.select(flag.alias("v"))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,x:bigint>" in plan
 
 
 def test_struct_mode(spark):
