@@ -203,3 +203,6 @@ def metaschema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     df = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"minLength":'), F.get_json_object("props", "$.k"), F.lit("}")).alias("doc"))
     return metaschema_errors(spark, df, "doc").select("event_id", "valid")
+
+
+from pactlake import catalogue_results, catalogue_values  # noqa: E402, F401  # they register their queries here

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from typing import Any
 
 from pyspark.sql import types as T
@@ -36,7 +36,7 @@ def register_rule(name: str, rule: Rule) -> None:
     _CUSTOM[name] = rule
 
 
-def split_rules(text: str) -> list[tuple[str, str | None]]:
+def split_rules(text: str, custom: Collection[str] = ()) -> list[tuple[str, str | None]]:
     """(name, parameter) of each rule; a part that names no rule continues the last parameter."""
     parts, depth, quote, now = [], 0, "", ""
     for c in text:
@@ -57,12 +57,14 @@ def split_rules(text: str) -> list[tuple[str, str | None]]:
     rules: list[tuple[str, str | None]] = []
     for part in parts:
         name, equals, value = part.strip().partition("=")
-        known = re.fullmatch(r"[A-Za-z][A-Za-z0-9]*", name) and (equals or name in _FLAGS or name in _CUSTOM or name in ("required", "additionalProperties", "unevaluatedItems", "unevaluatedProperties", "defs"))
+        known = re.fullmatch(r"[A-Za-z][A-Za-z0-9]*", name) and (equals or name in _FLAGS or name in _CUSTOM or name in custom or name in ("required", "additionalProperties", "unevaluatedItems", "unevaluatedProperties", "defs"))
         if known or not rules:
             rules.append((name, value if equals else None))
         else:
             last, so_far = rules[-1]
             rules[-1] = (last, f"{so_far},{part}")
+    if any(not n and v for n, v in rules):
+        raise ValueError(f"a rule without a name in {text!r}")
     return [(n, v.strip("'\"") if v else v) for n, v in rules if n]
 
 
@@ -90,10 +92,11 @@ def _apply(doc: Document, name: str, text: str | None, field: T.DataType, kind:
     text = "" if text is None else text
     if name in custom or name in _CUSTOM:
         doc |= (custom.get(name) or _CUSTOM[name])(field, [p for p in text.split(",") if p])
-    elif name in _SIZES:
-        doc[name] = int(text)
-    elif name in _NUMBERS:
-        doc[name] = json.loads(text)
+    elif name in _SIZES | _NUMBERS:
+        try:
+            doc[name] = int(text) if name in _SIZES else json.loads(text)
+        except ValueError:
+            raise ValueError(f"rule {name!r} has the parameter {text!r}; rules that are not known continue a parameter") from None
     elif name in _FLAGS:
         doc[name] = text != "false"
     elif name in _TEXTS:
@@ -119,6 +122,8 @@ def _apply(doc: Document, name: str, text: str | None, field: T.DataType, kind:
     elif name == "dependentSchemas":
         key, _, value = text.partition(",")
         doc.setdefault(name, {})[key] = _parameter(value, kind)
+    elif name != "defs":  # definitions come with ``extra``; the rule stands for nothing by itself
+        raise ValueError(f"unknown rule {name!r}")
 
 
 def _type_document(kind: T.DataType, options: dict[str, Any]) -> Document:
@@ -147,7 +152,7 @@ def _struct(kind: T.StructType, options: dict[str, Any]) -> Document:
     props: Document = {}
     required = []
     for f in kind:
-        rules = split_rules(f.metadata.get(options["rules"], "")) if f.metadata.get(options["rules"]) else []
+        rules = split_rules(f.metadata.get(options["rules"], ""), options["custom"]) if f.metadata.get(options["rules"]) else []
         name = f.metadata.get("json") or options["rename"](f.name)
         if name == "-" or not rules and not options["untagged"]:
             continue

@@ -187,6 +187,8 @@ class Native:
         out += inner._combined(node, v)
         for name, build in (("array", inner._array), ("number", inner._number), ("string", inner._string), ("object", inner._object)):
             guard = v.is_type(name)
+            if name == "object" and self.catalog.assert_format and isinstance(f := node.get("format"), str) and f not in self.catalog.custom_formats and f not in formats.FORMATS:
+                out.append(("format", "unknown_format", False))
             if guard is not False:
                 out += [(k, c, unless(negate(guard), check)) for k, c, check in build(node, v)]
         out = [(k, c, check if isinstance(check, bool) else F.coalesce(check, F.lit(False)) if v.variant else check) for k, c, check in out if check is not True]
@@ -293,8 +295,6 @@ class Native:
                 out.append(("format", "format_mismatch", formats.COLUMNS[name](s)))
             elif name in formats.FORMATS:
                 raise NotNative(f"format {name}")
-            else:
-                out.append(("format", "unknown_format", False))
         return out + self._content(node, s)
 
     def _content(self, node: Schema, s: Column) -> list:

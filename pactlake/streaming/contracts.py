@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,3 +33,15 @@ def error_rates(stream: DataFrame, contract: Contract, name: str | None, *, time
     """Rows and invalid rows in windows of event time."""
     checked = contract.validate(stream, name, with_errors=False).withWatermark(time, late)
     return checked.groupBy(F.window(time, window)).agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("valid")).cast("long")).alias("invalid"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where all of Spark is one process."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="pactlake-")

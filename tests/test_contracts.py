@@ -399,6 +399,13 @@ def test_inference_and_back():
     assert space["SCHEMA"] == back
 
 
+@pytest.mark.parametrize("rules", ["minLenght=2", "minLength=2,requird", "maximum=x", "=3", "no_such"])
+def test_rules_that_are_not_known(rules):
+    kind = T.StructType([T.StructField("a", T.StringType(), metadata={"rules": rules})])
+    with pytest.raises(ValueError, match="rule"):
+        inference.from_struct_type(kind)
+
+
 def test_streams(spark, tmp_path):
     from pactlake.streaming.contracts import quarantine
 
