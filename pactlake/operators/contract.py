@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pactlake.functions import numbers
 from pactlake.operators import defaults
 from pactlake.operators.evaluate import bind, evaluate, evaluate_json
-from pactlake.operators.flags import json_flag
+from pactlake.operators.flags import json_errors, json_flag, reachable
 from pactlake.operators.native import Native, NotNative, Value, column
 from pactlake.operators.results import MESSAGES, Outcome, Translator
 from pactlake.operators.told import listed
@@ -246,21 +246,8 @@ _LONG_NUMBER = r"(^|[:\[,\s])-?[0-9]+(\.[0-9]+)?[eE]|[0-9]{26,}|\.[0-9]{13,}"
 _WEIGHING = ("type", "enum", "const", "uniqueItems", "multipleOf", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum")
 
 
-def _reached(node: Schema) -> Iterator[Schema]:
-    """Every node that a plan can reach."""
-    todo, done = [node], set()
-    while todo:
-        s = todo.pop()
-        if id(s) in done:
-            continue
-        done.add(id(s))
-        yield s
-        todo += [c for _, c in s.children()]
-        todo += [t for k in ("$ref", "$dynamicRef", "$recursiveRef") if isinstance(s.get(k), str) and (t := s.target(k)) is not None]
-
-
 def _weighs_numbers(node: Schema) -> bool:
-    return any(k in s for s in _reached(node) for k in _WEIGHING)
+    return any(k in s for s in reachable(node) for k in _WEIGHING)
 
 
 def _names_seen(node: Schema, active: tuple[int, ...] = ()) -> set[str] | None:
@@ -296,18 +283,22 @@ def _flag_udf(node: Schema):
 
 
 def _errors_udf(node: Schema, translate: Translator | None):
-    """NULL text has no errors; valid text is known by the closures and not evaluated further."""
+    """NULL text has no errors."""
     held: list = []
 
     @F.arrow_udf(ERRORS)
     def found(texts):
+        import numpy as np
         import pyarrow as pa
 
         if not held:
-            held.append(json_flag(node))
-        flag, kind = held[0], pa.list_(pa.struct([(n, pa.string()) for n in ("path", "keyword", "code", "message")]))
-        told = lambda t: [{"path": at, "keyword": e.keyword, "code": e.code, "message": e.message(translate)} for at, e in evaluate_json(node, t).flat()]
-        return pa.array([[] if t is None or flag(t) else told(t) for t in texts.to_pylist()], kind)
+            held.append(json_errors(node))
+        rows = [[] if t is None else held[0](t) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        flat = [x for r in rows for x in r]
+        columns = [[at for at, _ in flat], [e.keyword for _, e in flat], [e.code for _, e in flat], [e.message(translate) for _, e in flat]]
+        parts = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "keyword", "code", "message"])
+        return pa.ListArray.from_arrays(pa.array(ends), parts)
 
     return found
 

@@ -46,7 +46,8 @@ def plain(text: Column) -> Column:
     part = F.when(ahead <= 0, F.concat(F.repeat(F.lit("0"), F.greatest(-ahead, F.lit(0))), digits)).otherwise(F.substr(digits, ahead + 1))
     shown = F.regexp_replace(whole, r"^0+(?=\d)", "")
     made = F.when(part == "", shown).otherwise(F.concat(shown, F.lit("."), part))
-    return F.when(digits.rlike("^0*$"), F.lit("0")).otherwise(F.concat(sign, made))
+    usual = F.when(text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+    return F.when(~text.rlike("^[^E]*[1-9]"), F.lit("0")).when(~text.contains("E"), usual).otherwise(F.concat(sign, made))
 
 
 def said(v: Value) -> Column:
