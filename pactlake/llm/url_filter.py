@@ -4,7 +4,10 @@ Paths are cut into segments whose digits and hex runs are generalised; per host,
 a node with more than ``FAN`` different children gets one wildcard child; then sibling branches
 whose children are distributed alike (total variation at most ``ALIKE``) and whose labels do not
 contradict are merged.  A template is rejected if its smoothed labelled purity, (blocked + A * PRIOR) /
-(labelled + A), reaches ``REJECT``.  Labels are the rules' verdicts unless others are given.
+(labelled + A), reaches ``REJECT``.  Labels are a column's, or else the rules' verdicts.
+
+A tree has ``DEPTH`` levels: the last takes all further segments of a path as one, generalised
+like any other, so longer paths are told apart there, too.
 
 Everything before the merge is pre-aggregated by template, so a host that holds a third of all
 rows is a few rows when its tree is put together; a tree has at most (FAN + 1) ** DEPTH leaves.
@@ -128,20 +131,23 @@ def _agree(bad: float, known: float, more_bad: float, more_known: float) -> bool
     return not known or not more_known or abs(bad / known - more_bad / more_known) <= 0.2
 
 
-def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:
-    """For each row: key, host, path, rule, verdict, template, purity."""
-    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"))
+def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", label: str | None = None) -> DataFrame:
+    """For each row: key, host, path, rule, verdict, template, purity.
+
+    label: a column of labels, "block" or "allow", that purity is counted from where it is not null.
+    """
+    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), (F.col(label) if label else F.lit(None)).cast("string").alias("_label"))
     host, path = split_url(F.col("_url"))
     rows = rows.withColumn("host", host).withColumn("path", path)
     name, verdict = judged(rules)
-    rows = rows.withColumn("rule", name).withColumn("_said", verdict)
+    rows = rows.withColumn("rule", name).withColumn("_said", verdict).withColumn("_label", F.coalesce("_label", "_said"))
     seg = [f"s{i}" for i in range(DEPTH)]
     levels = rows.withColumn("_l", _levels(F.col("path"))).select("*", *[F.get("_l", F.lit(i)).alias(s) for i, s in enumerate(seg)]).drop("_l")
-    tree = levels.groupBy("host", *seg).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_said") == "block").cast("long")).alias("blocked"), F.count("_said").alias("labelled"))
+    tree = levels.groupBy("host", *seg).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_label") == "block").cast("long")).alias("blocked"), F.count("_label").alias("labelled"))
     tree = cut(tree.select("host", *seg, *[F.col(s).alias(f"raw{i}") for i, s in enumerate(seg)], "n", F.coalesce("blocked", F.lit(0)).alias("blocked"), "labelled"))
     for i, s in enumerate(seg):
         up = ["host", *seg[:i]]
-        wild = tree.groupBy(*up).agg(F.approx_count_distinct(s, 0.02).alias("fan")).where(F.col("fan") > FAN).select(*up, F.lit(True).alias("wild"))
+        wild = tree.groupBy(*up).agg(F.count_distinct(s).alias("fan")).where(F.col("fan") > FAN).select(*up, F.lit(True).alias("wild"))
         # Each level reads the last one twice, so it is written; else reads would double with every level.
         tree = cut(tree.join(wild, up, "left").withColumn(s, F.when(F.col("wild") & (F.col(s) != "{end}"), "*").otherwise(F.col(s))).drop("wild"))
     nodes = tree.groupBy("host", *seg).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))

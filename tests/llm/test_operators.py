@@ -269,6 +269,29 @@ def test_url_rules_and_templates(spark):
     assert url_filter.judge(df.limit(0), RULES).count() == 0
 
 
+def test_purity_by_brute_force_and_own_labels(spark):
+    urls = [f"http://h{i % 3}.dev/{'abc'[i % 3]}/{i % 7}/x{i % 2}" for i in range(300)] + [None, "http://h0.dev", "http://h0.dev/a/1/2/3/4/5/6"]
+    rows = [(None if i % 50 == 0 else i, u, ["block", "allow", None][i % 3] if i % 4 else None) for i, u in enumerate(urls)] + [(5, urls[5], "block")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, own string")
+    got = url_filter.judge(df, RULES, label="own").collect()
+    assert len(got) == len(rows)
+    by_url = {}
+    for r in got:
+        by_url.setdefault((r.host, r.path), set()).add((r.template, r.purity, r.verdict))
+    assert all(len(v) == 1 for v in by_url.values())  # rows that repeat a url agree
+    sums = {}
+    for _, u, own in rows:
+        host, path, rule = brute_rule(u)
+        (template, *_), = by_url[host, path]
+        label = own or (rule and rule.verdict)
+        bad, known = sums.get((host, template), (0, 0))
+        sums[host, template] = bad + (label == "block"), known + (label is not None)
+    for r in got:
+        bad, known = sums[r.host, r.template]
+        assert r.purity == pytest.approx((bad + url_filter.SMOOTH * url_filter.PRIOR) / (known + url_filter.SMOOTH))
+        assert r.rule or r.verdict == ("block" if r.purity >= url_filter.REJECT else "allow")
+
+
 def test_many_children_become_one_wildcard(spark):
     df = spark.createDataFrame([(i, f"http://h.dev/tag/{chr(97 + i % 26)}{chr(97 + i // 26)}/page") for i in range(200)], "page_id long, url string")
     assert {r.template for r in url_filter.judge(df, RULES).select("template").collect()} == {"/tag/*/page/{end}"}
