@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm._batches import bounded_batches, slices
+from pactlake.llm._batches import bounded_batches, release, slices
 
 #: Lengths of grams; bit positions and hashes of a filter.
 ORDERS, BITS, HASHES = (2, 3, 4), 20, 2
@@ -207,6 +207,7 @@ def predict(docs: DataFrame, filters: SlicedFilters, key: str = "doc_id", text:
             for s in slices(b, "_text", 1 << 20):
                 lang, score = shared.value.predict(s.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(lang, pa.string()), pa.array(score)], names=[key, "held_out", "lang_pred", "score"])
+        release()
 
     return rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, lang_pred string, score double")
 
@@ -222,5 +223,6 @@ def keep(docs: DataFrame, filters: SlicedFilters, text: str = "text", least: flo
             for s in slices(b, text, 1 << 20):
                 lang, score = shared.value.predict(s.column(text).to_pylist())
                 yield s.filter(pa.array([x != "und" and p > 0 and p >= least for x, p in zip(lang, score, strict=True)], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

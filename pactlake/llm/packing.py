@@ -27,20 +27,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm._batches import bounded_batches, cut, slices
-from pactlake.llm.token_files import encoder
+from pactlake.llm._batches import bounded_batches, cut, release, slices
+from pactlake.llm.token_files import MEMO, encoder
 
 BUCKETS, BUDGET = 8, 16_384
 
 
-def tokenised(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", ids: bool = False, memo: int = MEMO) -> DataFrame:
     """key, n_tokens and, if asked for, ids: little-endian unsigned integers of 2 bytes, or 4 where
-    the vocabulary needs them."""
+    the vocabulary needs them.
+
+    memo: words that a worker remembers, some 300 bytes each, as long as it lives; fewer cost time only.
+    """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(path, memo)
         small = "<u2" if bpe.size <= 1 << 16 else "<u4"
         for b in batches:
             for s in slices(b, "_text"):
@@ -49,6 +52,7 @@ def tokenised(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "t
                 if ids:
                     columns.append(pa.array([x.astype(small).tobytes() for x in got], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids"][: len(columns)])
+        release()
 
     return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long" + ", ids binary" * ids)
 

@@ -162,14 +162,14 @@ class _Lazy:
 
 
 PRETOKEN = _Lazy()
-_ENCODERS: dict[str, ByteBpe] = {}
+_ENCODERS: dict[tuple[str, int], ByteBpe] = {}
 
 
-def encoder(path: str) -> ByteBpe:
+def encoder(path: str, memo: int = MEMO) -> ByteBpe:
     """The encoder of this worker process; its memo outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteBpe(path)
-    return _ENCODERS[path]
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS[path, memo] = ByteBpe(path, memo)
+    return _ENCODERS[path, memo]
 
 
 def _fs(uri: str):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactlake.llm._batches import TwoGenerationCache, bounded_batches, cut, slices
+from pactlake.llm._batches import TwoGenerationCache, bounded_batches, cut, release, slices
 from pactlake.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
 
 #: Labelled rows that are learned from at most; terms of the learned lexicon at most.
@@ -261,6 +261,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             for s in slices(b, "_text"):
                 p = shared.value.score([t or "" for t in s.column("_text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
+        release()
 
     rows = docs.select(F.col(key), held_out(key).alias("held_out"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int")
@@ -274,5 +275,6 @@ def keep(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.5)
         for b in batches:
             for s in slices(b, text):
                 yield s.filter(pa.array(shared.value.score([t or "" for t in s.column(text).to_pylist()]) < reject))
+        release()
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
