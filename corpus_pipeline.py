@@ -30,8 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, its bucket and batch."""
-    return packing.pack(packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True), carry=("ids",))
+    """Token ids of each document, its bucket and batch; workers keep few words beside the other stages' models."""
+    return packing.pack(packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True, memo=150_000), carry=("ids",))
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", drop_unknown_language), ("jaccard_join", drop_near_duplicates), ("packing", pack_batches)]
