@@ -18,7 +18,6 @@ the attempts that counted and is written last, so files that it does not name ar
 from __future__ import annotations
 
 import array
-import json
 import os
 import re
 import uuid
@@ -59,10 +58,9 @@ class ByteBpe:
         #: Tokens that take spaces, mind word ends or go through the normalizer are left to the library.
         self.plain_added = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
         self.size = self.library.get_vocab_size()
-        spec = json.loads(self.library.to_str())
-        cuts, model = spec["pre_tokenizer"] or {}, spec["model"]
-        self.byte_level = spec["normalizer"] is None and cuts.get("type") == "ByteLevel" and not cuts.get("add_prefix_space") and cuts.get("use_regex", True)
-        self.byte_level &= model["type"] == "BPE" and not model.get("dropout") and not model.get("end_of_word_suffix") and not spec.get("truncation") and not spec.get("padding")
+        lib, cuts, model = self.library, self.library.pre_tokenizer, self.library.model
+        self.byte_level = lib.normalizer is None and lib.truncation is None and lib.padding is None and type(cuts).__name__ == "ByteLevel" and not cuts.add_prefix_space and cuts.use_regex
+        self.byte_level = self.byte_level and type(model).__name__ == "BPE" and not model.dropout and not model.end_of_word_suffix and not model.continuing_subword_prefix
         self.memo, self.parts = TwoGenerationCache(memo), TwoGenerationCache(memo // 4)
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
