@@ -379,6 +379,8 @@ class Native:
                 raise NotNative("evaluated items that depend on branches")
             if "items" not in node:
                 s = node.get("unevaluatedItems")
+                if s.boolean is None and any(k in x for x in s.walk() for k in ("prefixItems", "items", "contains", "unevaluatedItems", "$ref")):
+                    raise NotNative("evaluated items that depend on items")
                 rest = F.slice(arr, len(prefix) + 1, F.greatest(F.size(arr) - len(prefix), F.lit(0)))
                 out.append(("unevaluatedItems", "unevaluated_items_not_allowed" if s.boolean is False else "unevaluated_item_mismatch", F.forall(rest, self.element(s, kind))))
         return out
@@ -409,6 +411,17 @@ class Native:
             return c if c is of_null else F.when(col.isNull(), F.lit(of_null)).otherwise(column(c))
         return c if c is True else any_of([col.isNull(), c])
 
+    def _marked(self, node: Schema, names: list[str], active: tuple[int, ...] = ()) -> set[str]:
+        """Names that references and ``allOf`` have looked at: for structures they are not additional."""
+        out: set[str] = set()
+        targets = [node.target("$ref")] if isinstance(node.get("$ref"), str) else []
+        for s in (*targets, *node.get("allOf", [])):
+            if s is not None and s.boolean is None and id(s) not in active:
+                found = [patterns.compiled(p) for p in s.get("patternProperties", {})]
+                out |= set(names) if "additionalProperties" in s or "unevaluatedProperties" in s else {n for n in names if n in s.get("properties", {}) or any(p.search(n) for p in found)}
+                out |= self._marked(s, names, (*active, id(s)))
+        return out
+
     def _struct(self, node: Schema, v: Value) -> list:
         names = [n for n in v.kind.fieldNames() if v.kind[n].metadata.get("json") != "-"]
         props, found = node.get("properties", {}), node.get("patternProperties", {})
@@ -424,7 +437,8 @@ class Native:
         skip = set(props) if self.struct_mode else set()
         own = [all_of([self.field(s, v, n) for s in match[n]]) for n in names if n not in skip]
         out.append(("properties", several("pattern_property_mismatch", "pattern_properties_mismatch", own), all_of(own)))
-        rest = [n for n in names if n not in props and not match[n]]
+        marked = self._marked(node, names) if self.struct_mode else set()
+        rest = [n for n in names if n not in props and not match[n] and n not in marked]
         for k, one, many in (("additionalProperties", "additional_property_mismatch", "additional_properties_mismatch"), ("unevaluatedProperties", "unevaluated_property_mismatch", "unevaluated_properties_mismatch")):
             if k in node and not (k == "unevaluatedProperties" and "additionalProperties" in node):
                 own = [self.field(node.get(k), v, n) for n in rest]

@@ -406,6 +406,45 @@ def test_rules_that_are_not_known(rules):
         inference.from_struct_type(kind)
 
 
+def test_cycles_on_one_value_and_marks_of_items():
+    own = Catalog()
+    node = own.compile({"$ref": "#/$defs/a", "$defs": {"a": {"properties": {"k": True}, "additionalProperties": False, "minProperties": 1, "anyOf": [{"$ref": "#/$defs/a"}]}}})
+    found = [(p, e.code) for p, e in evaluate(node, {"x": 1}).flat()]
+    assert ("", "additional_property_false") in found and ("", "additional_property_mismatch") in found
+    assert evaluate(node, {"k": 1}).valid and not evaluate(node, {}).valid
+    nested = own.compile({"unevaluatedItems": {"type": "array", "prefixItems": [True, True]}})
+    assert evaluate(nested, [[1, 2], 5]).valid and not evaluate(nested, [[1], 5, 6]).valid
+
+
+def test_structures_mark_what_references_looked_at(spark):
+    df = spark.createDataFrame([(1, "x", None)], "a long, b string, c string")
+    schema = {"allOf": [{"properties": {"b": {"type": "string"}}}], "properties": {"a": True}, "additionalProperties": False}
+    assert [Contract(schema, struct_mode=m).validate(df).first().valid for m in (True, False)] == [True, False]
+
+
+def test_generated_modules(tmp_path):
+    from pactlake.functions import codegen
+
+    point = T.StructType([T.StructField("x", T.DoubleType(), metadata={"rules": "minimum=0,required"}), T.StructField("tag", T.StringType(), metadata={"rules": "enum=a|b,pattern=^[ab]$"})])
+    line = T.StructType([T.StructField("from", point), T.StructField("to", point), T.StructField("names", T.ArrayType(T.StringType()), metadata={"rules": "minItems=1,minLength=2"}), T.StructField("on", T.TimestampType())])
+    types = {"line": line, "point": point}
+    (tmp_path / "types.json").write_text(json.dumps({n: t.jsonValue() for n, t in types.items()}))
+    out = tmp_path / "made.py"
+    assert codegen.main([str(tmp_path / "types.json"), "-o", str(out)]) == 0
+    assert codegen.main([str(tmp_path / "types.json"), "-o", str(out), "--check"]) == 0
+    made: dict = {}
+    exec(out.read_text(), made)  # noqa: S102
+    assert made["LINE"] == line and made["point_schema"]() == {k: v for k, v in inference.from_struct_type(point).items() if k != "$schema"}
+    assert made["line_schema"]()["properties"]["from"] == {"$ref": "#/$defs/point"} and "point" in made["line_schema"]()["$defs"]
+    node = Catalog().compile(made["line_schema"]())
+    for value in ({"from": {"x": 1, "tag": "a"}}, {"to": {"x": -1}}, {"from": {}}, {"names": ["a"]}, {"names": []}, {"on": 5}, {}):
+        assert evaluate(node, value).valid == evaluate(Catalog().compile(inference.from_struct_type(line)), value).valid
+    out.write_text("")
+    assert codegen.main([str(tmp_path / "types.json"), "-o", str(out), "--check"]) == 1
+    for doc in ({"type": ["string", "null"], "maxLength": 3}, {"anyOf": [{"const": 1}, {"type": "object", "required": ["a"], "x-own": 2}]}, {"if": {"minimum": 1}, "then": False, "items": True, "examples": [1, "b"]}, {"$ref": "#/$defs/a", "$defs": {"a": {"not": {"type": "null"}}}}):
+        assert eval(codegen.source(doc), {"B": B}) == doc  # noqa: S307
+
+
 def test_streams(spark, tmp_path):
     from pactlake.streaming.contracts import quarantine
 
