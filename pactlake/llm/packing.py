@@ -28,16 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pactlake.llm._batches import bounded_batches, cut, release, slices
-from pactlake.llm.token_files import MEMO, encoder
+from pactlake.llm.token_files import MEMO, encoder, forget
 
 BUCKETS, BUDGET = 8, 16_384
 
 
-def tokenised(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", ids: bool = False, memo: int = MEMO) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", ids: bool = False, memo: int = MEMO, keep: bool = True) -> DataFrame:
     """key, n_tokens and, if asked for, ids: little-endian unsigned integers of 2 bytes, or 4 where
     the vocabulary needs them.
 
-    memo: words that a worker remembers, some 300 bytes each, as long as it lives; fewer cost time only.
+    memo: words that a worker remembers, some 300 bytes each; fewer cost time only.  keep: as long as
+    the worker lives, else to the end of a task, which leaves the memory to what else it runs.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
@@ -52,6 +53,9 @@ def tokenised(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "t
                 if ids:
                     columns.append(pa.array([x.astype(small).tobytes() for x in got], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids"][: len(columns)])
+        if not keep:
+            del bpe
+            forget(path, memo)
         release()
 
     return docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long" + ", ids binary" * ids)

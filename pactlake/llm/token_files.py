@@ -170,6 +170,11 @@ def encoder(path: str, memo: int = MEMO) -> ByteBpe:
     return _ENCODERS[path, memo]
 
 
+def forget(path: str, memo: int = MEMO) -> None:
+    """Drops an encoder of this worker process with its memo."""
+    _ENCODERS.pop((path, memo), None)
+
+
 def _fs(uri: str):
     from pyarrow import fs
 
