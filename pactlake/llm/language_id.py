@@ -33,6 +33,8 @@ ORDERS, BITS, HASHES = (2, 3, 4), 20, 2
 SAMPLE, KEEP = 2000, 60_000
 #: Languages that are learned at most; characters of a longer text that are looked at together.
 MOST, PIECE = 1024, 1 << 20
+#: Grams that a task counts together when it learns.
+FLUSH = 4 << 20
 MIN_COUNT, SHARE = 3, 0.25
 _LETTER: np.ndarray | None = None
 
@@ -174,16 +176,26 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
+        n = 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for name, parts in held.items():
+                gram, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"lang": [name] * len(gram), "gram": gram.astype(np.int64), "n": n})
+            held.clear()
+
         for b in batches:
-            for s in slices(b, "text"):
+            for s in slices(b, "text", FLUSH // 8):
                 names = np.array(s.column("lang").to_pylist(), object)
                 for h, of in grams(s.column("text").to_pylist()):
+                    n += len(h)
                     for name in set(names):
                         held.setdefault(name, []).append(h[(names == name)[of]])
-            for name, parts in held.items():
-                gram, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"lang": [name] * len(gram), "gram": gram.astype(np.int64), "n": n})
-            held.clear()
+                    if n >= FLUSH:
+                        yield from sums()
+                        n = 0
+        yield from sums()
+        release()
 
     # The sample is bounded; a language keeps its most frequent grams, a bounded number too.
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)

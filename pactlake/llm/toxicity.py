@@ -205,7 +205,7 @@ def held_out(key: str = "doc_id") -> F.Column:
 def _learn_terms(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b, "text", 16 << 20):
+            for s in slices(b, "text"):
                 by: tuple[Counter, Counter] = (Counter(), Counter())
                 for text, label in zip(s.column("text").to_pylist(), s.column("toxic").to_pylist(), strict=True):
                     words = {w for x in set((text or "").lower().split()) if 3 <= len(w := plain(x)) <= 40}
@@ -213,6 +213,7 @@ def _learn_terms(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
                     by[label].update({"^" + w[:n] for w in words for n in STEMS if len(w) > n})
                 terms = list(by[0].keys() | by[1].keys())
                 yield pa.RecordBatch.from_pydict({"term": terms, "bad": [by[1][t] for t in terms], "good": [by[0][t] for t in terms]})
+        release()
 
     sums = rows.mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
