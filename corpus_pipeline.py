@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, its bucket and batch; workers keep no words for the other stages to carry."""
-    return packing.pack(packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True, memo=300_000, keep=False), carry=("ids",))
+    return packing.pack(packing.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True, memo=150_000, keep=False), carry=("ids",))
 
 
 STAGES = [("toxicity", drop_toxic), ("language_id", drop_unknown_language), ("jaccard_join", drop_near_duplicates), ("packing", pack_batches)]
