@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm._batches import bounded_batches, release, slices
+from pactlake.llm._batches import SLICE_BYTES, bounded_batches, release, slices
 
 #: Lengths of grams; bit positions and hashes of a filter.
 ORDERS, BITS, HASHES = (2, 3, 4), 20, 2
@@ -34,7 +34,7 @@ SAMPLE, KEEP = 2000, 60_000
 #: Languages that are learned at most; characters of a longer text that are looked at together.
 MOST, PIECE = 1024, 1 << 20
 #: Grams that a task counts together when it learns.
-FLUSH = 4 << 20
+FLUSH = 1 << 20
 MIN_COUNT, SHARE = 3, 0.25
 _LETTER: np.ndarray | None = None
 
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, filters: SlicedFilters, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b, "_text", 1 << 20):
+            for s in slices(b, "_text", SLICE_BYTES // 8):
                 lang, score = shared.value.predict(s.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(lang, pa.string()), pa.array(score)], names=[key, "held_out", "lang_pred", "score"])
         release()
@@ -232,7 +232,7 @@ def keep(docs: DataFrame, filters: SlicedFilters, text: str = "text", least: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b, text, 1 << 20):
+            for s in slices(b, text, SLICE_BYTES // 8):
                 lang, score = shared.value.predict(s.column(text).to_pylist())
                 yield s.filter(pa.array([x != "und" and p > 0 and p >= least for x, p in zip(lang, score, strict=True)], pa.bool_()))
         release()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm._batches import bounded_batches, cut, release, slices
+from pactlake.llm._batches import SLICE_BYTES, bounded_batches, cut, release, slices
 from pactlake.llm.token_files import MEMO, encoder, forget
 
 BUCKETS, BUDGET = 8, 16_384
@@ -47,7 +47,7 @@ def tokenised(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "t
         bpe = encoder(path, memo)
         small = "<u2" if bpe.size <= 1 << 16 else "<u4"
         for b in batches:
-            for s in slices(b, "_text"):
+            for s in slices(b, "_text", SLICE_BYTES // 4):
                 got = [np.frombuffer(x, "<u4")[:-1] for x in bpe.encode([t or "" for t in s.column("_text").to_pylist()], 0)]
                 columns = [s.column(0), pa.array([len(x) for x in got], pa.int64())]
                 if ids:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pactlake.llm._batches import TwoGenerationCache, bounded_batches, cut, release, slices
+from pactlake.llm._batches import SLICE_BYTES, TwoGenerationCache, bounded_batches, cut, release, slices
 from pactlake.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
 
 #: Labelled rows that are learned from at most; terms of the learned lexicon at most.
@@ -205,7 +205,7 @@ def held_out(key: str = "doc_id") -> F.Column:
 def _learn_terms(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b, "text"):
+            for s in slices(b, "text", SLICE_BYTES // 4):
                 by: tuple[Counter, Counter] = (Counter(), Counter())
                 for text, label in zip(s.column("text").to_pylist(), s.column("toxic").to_pylist(), strict=True):
                     words = {w for x in set((text or "").lower().split()) if 3 <= len(w := plain(x)) <= 40}
@@ -241,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b, "text"):
+            for s in slices(b, "text", SLICE_BYTES // 4):
                 x = lexicon.features([t or "" for t in s.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([s.column("draw"), s.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["draw", "toxic", "x"])
 
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b, "_text"):
+            for s in slices(b, "_text", SLICE_BYTES // 4):
                 p = shared.value.score([t or "" for t in s.column("_text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
         release()
@@ -274,7 +274,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b, text):
+            for s in slices(b, text, SLICE_BYTES // 4):
                 yield s.filter(pa.array(shared.value.score([t or "" for t in s.column(text).to_pylist()]) < reject))
         release()
 
