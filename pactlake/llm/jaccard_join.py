@@ -387,7 +387,8 @@ def _solve(docs: DataFrame, key: str, text: str) -> DataFrame:
     buckets = max(parts, math.ceil(total * (100 - PERCENT + EXTRA) / 100 / BUCKET))
     back = _entries(rows, counts, buckets).groupBy("bucket").applyInArrow(_shared, _ROW_DDL)
     chosen = back.groupBy("flush").applyInArrow(_selector(buckets), "bucket int, kind int, x binary, y binary")
-    edges = chosen.groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    # A copy, as tasks that meet and contract at once would need a second Python worker each, which stays.
+    edges = cut(chosen.groupBy("bucket").applyInArrow(_meet, "a long, b long"))
     family = connected(edges)
 
     # A class is known by its first row: keys before nulls, by key, then by hash.
